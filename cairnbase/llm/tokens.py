@@ -27,11 +27,12 @@ HEADER = struct.Struct("<4sBBHI")
 FOOTER = struct.Struct("<QQQQ4s")
 #: Ids of a block; a multiple of 64.
 BLOCK = 1 << 16
-#: The split of byte-level BPE, by which a text can be encoded piece by piece.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on whose classes the pattern engines agree; a text with any other is encoded whole.
-PLAIN = "[^\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]"
-CACHE = 400_000
+#: White space other than the space, tab and line ends: a text that has any is encoded whole.
+RARE_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A space next to these does not begin a piece.
+PAIRS = tuple(p for c in " \t\n\r" for p in (f" {c}", f"{c} "))
+#: Pieces whose ids a worker keeps.
+CACHE = 250_000
 
 
 def vocabulary_bits(size: int) -> int:
@@ -150,37 +151,68 @@ class Reader:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; each distinct piece is encoded once and kept."""
+    """Ids of whole texts by the tokenizers library, which encodes each distinct piece once while it is kept.
+
+    Byte-level BPE begins a new piece at every space between two characters that are not white space, so a text is
+    the sequence of its parts between spaces. Other texts and other kinds of tokenizers are encoded whole.
+    """
+
+    _made: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's own encoder, kept from task to task."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.split = regex.compile(PIECES).findall
-        self.odd = regex.compile(PLAIN).search
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # pieces are encoded on their own only under the plain byte-level split, and with no normaliser
-        self.plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = list(added.values())
+        pre = self.tokenizer.pre_tokenizer
+        self.by_piece = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
+        self.lengths = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token)  # a character for each byte
+        for i, token in added.items():
+            self.lengths[i] = len(token.encode())
         self.cache: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts, each with a space before it, as one text, and cut its ids by their lengths in bytes."""
+        ids = self.whole(" " + " ".join(parts))
+        ends = np.cumsum(self.lengths[ids])
+        due = np.cumsum([len(p.encode()) + 1 for p in parts])
+        cuts = np.searchsorted(ends, due) + 1
+        if len(ids) == 0 or cuts[-1] != len(ids) or (ends[cuts - 1] != due).any():
+            raise ValueError("ids that cross a piece")
+        data, start = ids.tobytes(), 0
+        for part, cut in zip(parts, (cuts * 4).tolist(), strict=True):
+            self.cache[part] = data[start:cut]
+            start = cut
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit integers."""
-        if not self.plain or self.odd(text) or any(a in text for a in self.added):
-            return np.frombuffer(self._whole([text])[0], np.uint32)
-        pieces, cache = self.split(text), self.cache
+        if not self.by_piece or any(c in text for c in RARE_SPACE) or any(p in text for p in PAIRS) or any(a in text for a in self.added):
+            return self.whole(text)
+        parts, cache = text.split(" "), self.cache
+        if len(parts) < 2 or not parts[0] or not parts[-1]:
+            return self.whole(text)
         try:
-            return np.frombuffer(b"".join([cache[p] for p in pieces]), np.uint32)
+            rest = [cache[p] for p in parts[1:]]
         except KeyError:
             if len(cache) > CACHE:
                 cache.clear()
-            new = [p for p in set(pieces) if p not in cache]
-            cache.update(zip(new, self._whole(new), strict=True))
-            return np.frombuffer(b"".join([cache[p] for p in pieces]), np.uint32)
+            self._learn([p for p in dict.fromkeys(parts[1:]) if p not in cache])
+            rest = [cache[p] for p in parts[1:]]
+        return np.frombuffer(b"".join([self.whole(parts[0]).tobytes(), *rest]), np.uint32)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, folder: str | None = None) -> DataFrame:
@@ -195,7 +227,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
     n = shuffle_partitions(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, sink = Encoder(tokenizer_path), None, None
+        encoder, writer, sink = Encoder.of(tokenizer_path), None, None
         part = TaskContext.get().partitionId()
         fs, root = filesystem(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
