@@ -31,8 +31,8 @@ BLOCK = 1 << 16
 RARE_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space next to these does not begin a piece.
 PAIRS = tuple(p for c in " \t\n\r" for p in (f" {c}", f"{c} "))
-#: Pieces whose ids a worker keeps.
-CACHE = 250_000
+#: Pieces whose ids a worker keeps: the first that it meets, among which are the frequent ones.
+CACHE = 500_000
 
 
 def vocabulary_bits(size: int) -> int:
@@ -185,18 +185,17 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
         """Encode parts, each with a space before it, as one text, and cut its ids by their lengths in bytes."""
-        ids = self.whole(" " + " ".join(parts))
+        joined = " " + " ".join(parts)
+        ids = self.whole(joined)
         ends = np.cumsum(self.lengths[ids])
-        due = np.cumsum([len(p.encode()) + 1 for p in parts])
+        due = np.flatnonzero(np.frombuffer((joined + " ").encode(), np.uint8) == 32)[1:]
         cuts = np.searchsorted(ends, due) + 1
-        if len(ids) == 0 or cuts[-1] != len(ids) or (ends[cuts - 1] != due).any():
+        if cuts[-1] != len(ids) or (ends[cuts - 1] != due).any():
             raise ValueError("ids that cross a piece")
-        data, start = ids.tobytes(), 0
-        for part, cut in zip(parts, (cuts * 4).tolist(), strict=True):
-            self.cache[part] = data[start:cut]
-            start = cut
+        data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+        return {part: data[i:j] for part, i, j in zip(parts, at, at[1:], strict=False)}
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit integers."""
@@ -208,10 +207,10 @@ class Encoder:
         try:
             rest = [cache[p] for p in parts[1:]]
         except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            self._learn([p for p in dict.fromkeys(parts[1:]) if p not in cache])
-            rest = [cache[p] for p in parts[1:]]
+            new = self._learn([p for p in dict.fromkeys(parts[1:]) if p not in cache])
+            if len(cache) + len(new) <= CACHE:
+                cache.update(new)
+            rest = [cache.get(p) or new[p] for p in parts[1:]]
         return np.frombuffer(b"".join([self.whole(parts[0]).tobytes(), *rest]), np.uint32)
 
 
