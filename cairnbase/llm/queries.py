@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, tokens, warc
+from . import html, langid, media, mixing, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(media.encode_media(_table(spark, sf_dir, "documents")))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = langid.label_documents(_table(spark, sf_dir, "documents"))
+    return labelled.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages")).drop("url")
 
@@ -36,6 +45,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_media": op3_media,
+    "op5_language": op5_language,
+    "op7_main_text": op7_main_text,
     "op8_warc": op8_warc,
     "op10_token_files": op10_token_files,
 }
