@@ -109,6 +109,14 @@ def normalise(source, sink) -> list[tuple[int, int]]:
     return index
 
 
+def pack_index(index: list[tuple[int, int]]) -> bytes:
+    return b"".join(INDEX.pack(*x) for x in index)
+
+
+def unpack_index(data: bytes) -> list[tuple[int, int]]:
+    return list(INDEX.iter_unpack(data))
+
+
 def parse(member: bytes) -> dict:
     """A record from its gzip member: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (None for a revisit)."""
     data = zlib.decompress(member, 31)
@@ -181,7 +189,7 @@ def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 with own.open_input_stream(at, compression=None) as source, fs.open_output_stream(name, compression=None) as sink:
                     index = normalise(source, sink)
                 with fs.open_output_stream(f"{name}.idx", compression=None) as sink:
-                    sink.write(b"".join(INDEX.pack(*x) for x in index))
+                    sink.write(pack_index(index))
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([sum(n for _, n in index)], pa.int64()), pa.array([len(index)], pa.int64())], schema=MANIFEST)
 
     spread = manifest.repartition(max(2, shuffle_partitions(manifest.sparkSession)), "path")
@@ -202,7 +210,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 fs, at = filesystem(path)
                 with fs.open_input_stream(f"{at}.idx", compression=None) as source:
-                    index = list(INDEX.iter_unpack(source.read()))
+                    index = unpack_index(source.read())
                 with fs.open_input_file(at) as source:
                     held = []
                     for offset, size in index:
