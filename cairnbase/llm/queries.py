@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, media, mixing, pii, tokens, warc
+from . import decontam, html, langid, media, mixing, neardup, pii, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(media.encode_media(_table(spark, sf_dir, "documents")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = langid.label_documents(_table(spark, sf_dir, "documents"))
     return labelled.select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op3_media": op3_media,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op7_main_text": op7_main_text,
     "op8_warc": op8_warc,
