@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, media, mixing, neardup, pii, tokens, warc
+from . import decontam, html, langid, media, mixing, neardup, pii, repeats, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
+    "op6_repeats": op6_repeats,
     "op7_main_text": op7_main_text,
     "op8_warc": op8_warc,
     "op9_personal_data": op9_personal_data,
