@@ -171,6 +171,16 @@ def bits_of(model: Model, texts: Iterator[str], cache: dict, scores: list) -> It
         yield table[at].sum(0), sum(map(len, ws)) + len(ws)
 
 
+def choice(model: Model, bits: np.ndarray, n: int) -> tuple[str, float, float | None, bool]:
+    """Language, posterior, bits a character and rejection of a text of n characters with these bits by language."""
+    if not n or not model.langs:
+        return UNKNOWN, 0.0, None, True
+    rate = bits / n
+    best = int(rate.argmin())
+    p = 1 / np.exp2((rate[best] - rate) * min(n, 40)).sum()
+    return model.langs[best], float(p), float(rate[best]), bool(rate[best] > model.limit)
+
+
 def train(docs: DataFrame, texts: int = TEXTS, order: int = ORDER) -> Model:
     """A model of docs (text, lang): of each language about ``texts`` distinct texts, drawn by hash, whole.
 
@@ -226,19 +236,34 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(i, 500)
                 rows = []
                 for doc_id, (bits, n) in zip(part.column("doc_id").to_pylist(), bits_of(model, (t or "" for t in part.column("text").to_pylist()), cache, scores), strict=True):
-                    if not n or not model.langs:
-                        rows.append((doc_id, UNKNOWN, 0.0, None, n, True))
-                        continue
-                    rate = bits / n
-                    best = int(rate.argmin())
-                    p = 1 / np.exp2((rate[best] - rate) * min(n, 40)).sum()
-                    rows.append((doc_id, model.langs[best], float(p), float(rate[best]), n, bool(rate[best] > model.limit)))
+                    lang, score, rate, rejected = choice(model, bits, n)
+                    rows.append((doc_id, lang, score, rate, n, rejected))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, n_chars long, rejected boolean")
 
 
+def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model rejects, lang set to the prediction; other columns stay.
+
+    Texts are labelled where they stand: rows are not joined, so repeated and null ids keep their own texts' labels.
+    """
+    names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        cache, scores = {}, [np.empty((0, len(model.langs)))]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                labels = [choice(model, bits, n) for bits, n in bits_of(model, (t or "" for t in part.column("text").to_pylist()), cache, scores)]
+                kept = part.set_column(names.index("lang"), "lang", pa.array([x[0] for x in labels], part.schema.field("lang").type))
+                yield kept.filter(pa.array([not x[3] for x in labels]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_documents(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     """Train on four fifths of docs (doc_id, text, lang) and predict every row; adds held_out."""
     model = train(docs.where(in_training(F.col("doc_id"))), texts)

@@ -10,8 +10,6 @@ Only histograms by (source, length) meet in one task; documents themselves are n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,14 +138,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it. mixed: the result of mix_sources(docs)."""
+    """docs with each row as often as the mix takes it. mixed: the result of mix_sources(docs).
+
+    Rows that repeat a doc_id at equal size share their copies as evenly as can be.
+    """
     names = docs.columns
-    per_doc = mixed.groupBy("doc_id", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("rows"))
+    grouped = mixed.groupBy("doc_id", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("rows")).where("c > 0")
+    per_doc = stored(grouped.withColumnsRenamed({"doc_id": "__id", "size": "__s"}), "mixing-copies")
     keyed = docs.withColumn("__size", word_count(F.col("text")))
-    order = Window.partitionBy("doc_id", "__size").orderBy(F.lit(1))
-    dup = per_doc.withColumnsRenamed({"doc_id": "__id", "size": "__s"})
-    joined = keyed.join(dup, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")))
-    single = joined.where("rows = 1").withColumn("__n", F.col("c"))
-    several = joined.where("rows > 1").withColumn("__k", F.row_number().over(order)).withColumn("__n", F.floor(F.col("c") / F.col("rows")) + (F.col("__k") <= F.col("c") % F.col("rows")).cast("long")).drop("__k")
-    out = single.unionByName(several).where("__n > 0")
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")))
+    out = joined.where("rows = 1").withColumn("__n", F.col("c"))
+    if per_doc.where("rows > 1").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("text"))
+        shared = joined.where("rows > 1").withColumn("__n", F.floor(F.col("c") / F.col("rows")) + (place <= F.col("c") % F.col("rows")).cast("long"))
+        out = out.unionByName(shared)
+    return out.where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .hashing import BASE, mix, substring, sums
 
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -38,40 +39,12 @@ BROADCAST_IDS = 500_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWER: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n at least."""
-    if len(_POWER.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _POWER["up"], _POWER["down"] = _powers(int(_BASE), size), _powers(_inverse(int(_BASE)), size)
-    return _POWER["up"], _POWER["down"]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ x >> np.uint64(33)
-
-
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its shingles, by the rules of link_documents()."""
     out: list[np.ndarray] = []
@@ -94,15 +67,12 @@ def _sets_of(group: list[bytes]) -> list[np.ndarray]:
     starts, stops = edge[0::2], edge[1::2]
     if not len(starts):
         return [np.empty(0, np.uint64)] * len(group)
-    up, down = _tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    words = _mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    words = mix(substring(sums(_LOWER[data]), starts, stops) + (stops - starts).astype(np.uint64))
     five = np.zeros(len(words), np.uint64)
     k = max(0, len(words) - WORDS + 1)
     for i in range(WORDS):
-        five[:k] = five[:k] * _BASE + words[i : i + k]
-    five[:k] = _mix(five[:k])
+        five[:k] = five[:k] * BASE + words[i : i + k]
+    five[:k] = mix(five[:k])
     first = np.searchsorted(starts, np.concatenate(([0], ends[:-1])))
     last = np.append(first[1:], len(starts))
     out = []
@@ -113,8 +83,8 @@ def _sets_of(group: list[bytes]) -> list[np.ndarray]:
         elif n:
             h = np.uint64(n)
             for w in words[a:b]:
-                h = np.uint64((int(h) * int(_BASE) + int(w)) & 0xFFFFFFFFFFFFFFFF)
-            out.append(_mix(np.array([h], np.uint64)))
+                h = np.uint64((int(h) * int(BASE) + int(w)) & 0xFFFFFFFFFFFFFFFF)
+            out.append(mix(np.array([h], np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -132,9 +102,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """Rows of signatures to rows of band keys."""
     parts = signatures.astype(np.uint64).reshape(len(signatures), BANDS, ROWS)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE, parts.shape[:2]).copy()
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * BASE, parts.shape[:2]).copy()
     for r in range(ROWS):
-        h = _mix(h + parts[:, :, r])
+        h = mix(h + parts[:, :, r])
     return h.view(np.int64)
 
 
@@ -219,7 +189,6 @@ def _judge(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
 
 def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, common, either: sizes of intersection and union, counted on the full sets."""
-    spark = docs.sparkSession
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = stored(classes.join(needed, "node").select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), "neardup-needed")
     few = ids.count() <= BROADCAST_IDS
@@ -252,7 +221,6 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                 either.append(len(a) + len(b) - n)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
 
-    del spark
     return both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long, common long, either long")
 
 
