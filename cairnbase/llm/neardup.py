@@ -1,10 +1,12 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 Documents with equal shingle sets form a class; from then on only classes are compared. Classes that share a band of
-their signatures meet in a bucket. A bucket never emits all its pairs: its members are compared with one leader, and
-those linked to it are done with, but for the members that the leader's exact similarities cannot rule out: two sets
-that are linked differ from any third by at most a quarter more (Jaccard distance is a metric). The unlinked go on
-with another leader; what is left after some rounds, pairwise unlike as a rule, is compared in full.
+their signatures meet in a bucket. A bucket never emits all its pairs: its members are compared with one leader, the
+member with the most company over all its bands. Those linked to the leader need no further links among themselves.
+For the others the sizes of their intersections with the leader bound what they can share with any third set, so that
+only pairs that the bound allows, or that share enough shingles that the leader lacks (found by an inverted index over
+the rarest of these), are compared. Members too far from the leader go on with another one; what is left after some
+rounds is compared in full.
 
 Each candidate pair is first judged on its signatures, a batch of hashes at a time: it is dropped once the posterior
 probability that it is similar enough falls below the chosen miss probability. Survivors are compared exactly.
@@ -17,7 +19,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -31,6 +33,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Probability with which a similar pair may be dropped by its signatures.
 MISS = 1e-6
+#: Similarity down to which members are compared exactly with their leader.
+RATED = 0.25
 #: Rounds with a leader before the rest of a bucket is compared in full.
 LEADERS = 2
 #: So many document ids, 8 bytes each, are broadcast to fetch their texts; beyond, the join is shuffled.
@@ -187,8 +191,8 @@ def _judge(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, common, either: sizes of intersection and union, counted on the full sets."""
+def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, novel: bool = False) -> DataFrame:
+    """a, b, common, na, nb: sizes of the intersection and of both sets, counted in full; with novel, what b has and a lacks."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = stored(classes.join(needed, "node").select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), "neardup-needed")
     few = ids.count() <= BROADCAST_IDS
@@ -209,19 +213,21 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     full = stored(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
     both = pairs.join(full.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(full.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())]
+    schema = pa.schema([*fields, ("novel", pa.list_(pa.int64()))] if novel else fields)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, either = [], []
-            for xa, xb in zip(batch.column("xa"), batch.column("xb"), strict=True):
+            rows = []
+            for i, j, xa, xb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
                 a, b = np.frombuffer(xa.as_buffer(), np.uint64), np.frombuffer(xb.as_buffer(), np.uint64)
-                at = np.searchsorted(b, a)
-                n = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                common.append(n)
-                either.append(len(a) + len(b) - n)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
+                known = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+                row = (i, j, int(known.sum()), len(a), len(b))
+                rows.append((*row, b[~known].view(np.int64)) if novel else row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long, common long, either long")
+    return both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long, common long, na long, nb long" + ", novel array<long>" * novel)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,35 +245,65 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("n").alias("c"))
 
 
+def _is_link(percent: int):
+    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
+
+
+def _beside_leader(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader, at least one of them not linked to it, that can be linked.
+
+    near: lead, node, c (shared with the leader), n (size), linked, novel (what the leader lacks). Two members share
+    at most min(c, c') and what both have beyond the leader; a link needs (100 + percent) * shared >= percent * (n + n').
+    """
+    p, q = percent, 100 + percent
+    border = near.where(~F.col("linked"))
+    near = near.join(border.select("lead").distinct(), "lead", "left_semi")
+    i = near.select("lead", F.col("node").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"))
+    # without shingles beyond the leader: a partner must be small enough for c; sizes are few, so they are joined as keys
+    slack = 1e-9  # quotients are doubles
+    most, least = F.floor(F.col("c") * q / p + slack) - F.col("n"), F.ceil(F.col("n") * p / 100 - slack)
+    j = border.where(most >= least).select("lead", F.col("node").alias("j"), F.col("n").alias("nj"), F.explode(F.sequence(least, most)).alias("ni"))
+    small = j.join(i, ["lead", "ni"]).where((F.col("i") != F.col("j")) & (F.col("ci") * q >= (F.col("ni") + F.col("nj")) * p)).select("i", "j")
+    # with them: the pair shares one of the rarest of them, so many that the others alone would be too few
+    smallest = near.groupBy("lead").agg(F.min("n").alias("n_min"))
+    due = F.greatest(F.lit(1), F.ceil((F.col("n") + F.greatest(F.col("n_min"), least)) * p / q - slack) - F.col("c"))
+    kept = near.join(smallest, "lead").withColumn("keep", F.size("novel") - due + 1).where("keep > 0")
+    each = kept.select("lead", "node", "linked", "keep", F.explode("novel").alias("s"))
+    often = each.groupBy("lead", "s").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = each.join(often, ["lead", "s"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    rarest = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lead", "node").orderBy("f", "s"))).where("r <= keep and f > 1")
+    rarest = stored(rarest.select("lead", "s", "node", "linked"), "neardup-rarest")
+    share = rarest.where(~F.col("linked")).select("lead", "s", F.col("node").alias("j")).join(rarest.select("lead", "s", F.col("node").alias("i")), ["lead", "s"]).where("i <> j").select("i", "j")
+    return small.union(share).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def find_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, leaders: int = LEADERS) -> DataFrame:
     """Links (a, b) between classes: enough of them to connect all that are linked, none that is not exact."""
     bands = _bands(classes)
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    active = stored(bands.join(shared, "band"), "neardup-members")
-    limit = percent / 100
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    active = stored(bands.join(sizes, "band"), "neardup-members")
+    company = active.groupBy("node").agg(F.sum("n").alias("company"))
+    active = active.join(company, "node").select("band", "node", "company", F.lit(True).alias("fresh"))
     links = None
     for _ in range(leaders):
-        lead = active.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        members = stored(active.join(lead, "band").where("node <> lead").select("band", "lead", "node"), "neardup-round")
+        # fresh members have not been compared with another leader of the bucket; it takes one of them to lead
+        lead = active.groupBy("band").agg(F.max_by("node", F.when(F.col("fresh"), F.struct("company", -F.col("node")))).alias("lead"), F.count("*").alias("n")).where("n > 1")
+        members = stored(active.join(lead.select("band", "lead"), "band").where("node <> lead"), "neardup-round")
         if not members.limit(1).count():
-            return links if links is not None else members.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            empty = members.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            return links if links is not None else empty
         stars = members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        # exact down to where a member could still be linked to one that is linked to the leader
-        near = stored(_exact(stored(_judge(stars, classes, 2 * limit - 1), "neardup-likely"), docs, classes), "neardup-near")
-        linked = F.col("common") * 100 >= F.col("either") * percent
-        found = near.where(linked).select("a", "b")
+        near = stored(_exact(stored(_judge(stars, classes, RATED), "neardup-likely"), docs, classes, novel=True), "neardup-near")
+        found = near.where(_is_link(percent)).select("a", "b")
         links = found if links is None else links.union(found)
-        rated = near.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("far"), linked.alias("linked"))
-        placed = members.join(rated, ["lead", "node"], "left")
-        rest = placed.where("linked is null or not linked")
-        border = placed.where("not linked").select("band", F.col("node").alias("j"), F.col("far").alias("far_j"))
-        inner = placed.where("linked").select("band", F.col("node").alias("i"), F.col("far").alias("far_i"))
-        cross = border.join(inner, "band").where(F.col("far_j") - F.col("far_i") <= 1 - limit + 1e-9)
-        cross = stored(cross.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "neardup-cross")
-        links = links.union(_linked(cross, docs, classes, percent))
-        active = stored(rest.select("band", "node"), "neardup-rest")
-    other = active.withColumnRenamed("node", "b")
-    left = stored(active.withColumnRenamed("node", "a").join(other, "band").where("a < b").select("a", "b").distinct(), "neardup-left")
+        rated = near.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("common").alias("c"), F.col("nb").alias("n"), _is_link(percent).alias("linked"), "novel")
+        links = links.union(_linked(stored(_beside_leader(rated, percent), "neardup-beside"), docs, classes, percent))
+        placed = members.join(rated.select("lead", "node", "linked"), ["lead", "node"], "left").where("linked is null or not linked")
+        rest = stored(placed.select("band", "node", "company", (F.col("fresh") & F.col("linked").isNull()).alias("fresh")), "neardup-rest")
+        # a bucket goes on as long as a member is too far from its leader to be judged by it
+        active = rest.join(rest.where("fresh").select("band").distinct(), "band", "left_semi")
+    left = active.select("band", F.col("node").alias("i"), "fresh").where("fresh").drop("fresh").join(active.select("band", F.col("node").alias("j")), "band").where("i <> j")
+    left = stored(left.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "neardup-left")
     return links.union(_linked(left, docs, classes, percent))
 
 
@@ -275,7 +311,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     likely_pairs = stored(_judge(pairs, classes, percent / 100), "neardup-likely")
     if not likely_pairs.limit(1).count():
         return likely_pairs
-    return stored(_exact(likely_pairs, docs, classes), "neardup-exact").where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
+    return stored(_exact(likely_pairs, docs, classes), "neardup-exact").where(_is_link(percent)).select("a", "b")
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
