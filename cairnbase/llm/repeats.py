@@ -216,7 +216,7 @@ def repeated_spans(group: np.ndarray, doc: np.ndarray, alt: np.ndarray, at: np.n
             members = members[np.argsort(by_left[members])]
             common = np.zeros(len(members), np.int64)
             common[1:] = _common(ll[members[1:]], ll[members[:-1]], np.minimum(nl[members[1:]], nl[members[:-1]]))
-            # left-extension diversity: an interval whose left contexts all reach as far as they can adds no other string
+            # left-extension diversity: each row is matched as far to the left as an earlier row of the interval agrees
             for p, reach in zip(members.tolist(), earlier_reach(in_docs[members].tolist(), common.tolist()), strict=True):
                 if reach >= 0 and reach + length >= LEAST:
                     out.append((p, int(at[p] - reach), int(at[p] + length)))
@@ -243,8 +243,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, alt = (np.array(k, np.int64)[text] for k in zip(*keys, strict=True))
         at = pos * 128 + right
         order = np.lexsort((pos, alt, doc, c, a))
-        later = np.concatenate(([False], (a[order[1:]] == a[order[:-1]]) & (c[order[1:]] == c[order[:-1]]))) if len(order) else np.empty(0, bool)
-        at[order[later]] = -1 - at[order[later]]
+        later = np.concatenate(([False], (a[order[1:]] == a[order[:-1]]) & (c[order[1:]] == c[order[:-1]])))[: len(order)]
+        settled = order[later]
+        a[settled] = mix((at[settled] + doc[settled]).astype(np.uint64))  # they need no company: dealt out evenly
+        at[settled] = -1 - at[settled]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), c.view(np.int64), doc, alt, at)], schema=_OCCURRENCE)
 
     for batch in batches:
