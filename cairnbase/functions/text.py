@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and word lists that results depend on.
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
@@ -102,7 +103,7 @@ def is_pageworthy(name: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
@@ -164,12 +165,13 @@ def canonical_display_name(names: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
+    """Size in the largest unit below it, one decimal, halves to even."""
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
     return (
         F.when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < mb, F.format_string("%.1f KB", n / kb))
-        .when(n < gb, F.format_string("%.1f MB", n / mb))
-        .otherwise(F.format_string("%.1f GB", n / gb))
+        .when(n < mb, F.format_string("%.1f KB", F.bround(n / kb, 1)))
+        .when(n < gb, F.format_string("%.1f MB", F.bround(n / mb, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(n / gb, 1)))
     )
 
 

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import table_queries, text_queries, vector_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **vector_queries.QUERIES, **table_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **vector_queries.ORACLES, **table_queries.ORACLES}

@@ -26,4 +26,9 @@ _DDL = {
     "vec_entities": "entity_id long, type string, vector array<float>",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+TABLES = tuple(_DDL)
+
+
+def schema(table: str) -> StructType:
+    """Schema of a table; parsed when asked for, which needs a session."""
+    return StructType.fromDDL(_DDL[table])

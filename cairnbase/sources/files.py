@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -51,7 +52,7 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("width int, height int")
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
 def image_dims(content: pd.Series) -> pd.DataFrame:
     """Sizes of images; null where the header is not known."""
     return pd.DataFrame([image_size(c) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
@@ -91,7 +92,13 @@ def exif_fields(data: bytes) -> dict[str, object]:
     return {"taken": inner.get(0x9003) or top.get(0x0132), "lat": gps.get(2), "lat_ref": gps.get(1), "lon": gps.get(4), "lon_ref": gps.get(3)}
 
 
-@F.pandas_udf("taken string, lat array<double>, lat_ref string, lon array<double>, lon_ref string")
+_EXIF = StructType([
+    StructField("taken", StringType()), StructField("lat", ArrayType(DoubleType())), StructField("lat_ref", StringType()),
+    StructField("lon", ArrayType(DoubleType())), StructField("lon_ref", StringType()),
+])
+
+
+@F.pandas_udf(_EXIF)
 def exif(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([exif_fields(c) for c in content], columns=["taken", "lat", "lat_ref", "lon", "lon_ref"])
 
