@@ -100,7 +100,8 @@ _EXIF = StructType([
 
 @F.pandas_udf(_EXIF)
 def exif(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([exif_fields(c) for c in content], columns=["taken", "lat", "lat_ref", "lon", "lon_ref"])
+    rows = [exif_fields(c) for c in content]
+    return pd.DataFrame({k: pd.Series([r.get(k) for r in rows], dtype=object) for k in ("taken", "lat", "lat_ref", "lon", "lon_ref")})
 
 
 def with_exif(images: DataFrame, content: str = "content") -> DataFrame:
