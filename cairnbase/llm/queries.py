@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, media, mixing, neardup, pii, repeats, tokens, warc
+from . import decontam, html, langid, media, mixing, neardup, oracles, pii, repeats, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+#: The others have models, seeded draws, codecs or token ids in them; tests/llm holds those against brute-force versions.
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
