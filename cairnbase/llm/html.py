@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 TOKEN = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"'=]++|=\s*\"[^\"]*+(?:\"|\Z)|=\s*'[^']*+(?:'|\Z)|[=\"'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S
 )
@@ -55,7 +57,7 @@ def _furniture(name: str, rest: str, stack: list[Node]) -> bool:
         return True
     if name == "header":
         return not any(n.name in ("article", "main") for n in stack)
-    if "=" not in rest or name in ("html", "body", "article", "main"):
+    if not rest.strip() or name in ("html", "body", "article", "main"):
         return False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), (a or b or c).lower()
@@ -219,5 +221,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h or "") for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string())], schema=schema)
 
-    found = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    found = pages.select("page_id", "url", "html").mapInArrow(lean(run), "page_id long, url string, text string")
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

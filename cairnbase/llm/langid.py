@@ -10,20 +10,25 @@ model has not counted are rejected.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import filesystem, lean, scratch
+
 ORDER = 5
 #: Texts of each language that a model is fitted on, about: the bound of the training sample.
 TEXTS = 2500
 #: One in so many of the sampled texts calibrates the rejection instead.
 CALIBRATE = 8
+#: Texts of fewer characters are too short to be rejected.
+ENOUGH = 40
 #: A text is rejected if its cross-entropy is above the calibration texts' largest by this factor.
 SLACK = 1.25
 #: Word scores that a worker keeps.
@@ -118,8 +123,26 @@ class Model:
                         alphas[k - 1] = np.insert(alphas[k - 1], place_of, 0, axis=0)
                         lambdas[k - 1] = np.insert(lambdas[k - 1], place_of, 1, axis=0)
                         lambdas[k - 1][np.searchsorted(keys[k - 1], context), j] = rest
+        # a last row for n-grams that are not there, which place -1 takes: no probability, full back-off
+        alphas = [np.vstack([a, np.zeros((1, len(langs)), np.float32)]) for a in alphas]
+        lambdas = [np.vstack([x, np.ones((1, len(langs)), np.float32)]) for x in lambdas]
         return cls(langs, keys, alphas, lambdas, start, len(alphabet) + 1)
 
+    def written(self, spark: SparkSession) -> str:
+        """Path of a copy in the shared folder: a task reads it and drops it when done, so that no worker keeps it."""
+        path = f"{scratch(spark, 'langid')}.pkl"
+        fs, at = filesystem(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(at) as sink:
+            sink.write(pickle.dumps(self))
+        return path
+
+    @staticmethod
+    def read(path: str) -> Model:
+        fs, at = filesystem(path)
+        with fs.open_input_stream(at) as source:
+            return pickle.loads(source.read())
+
     def _find(self, k: int, hashed: np.ndarray) -> np.ndarray:
         """Place of each n-gram in its order's array, or -1."""
         keys = self.keys[k]
@@ -142,9 +165,8 @@ class Model:
                 if k == 0:
                     weight = self.start
                 else:
-                    prior = np.concatenate(([-1], before[:-1]))
-                    weight = np.where((prior >= 0)[:, None], self.lambdas[k - 1][prior], 1.0)
-                p = np.where(valid[:, None], np.where((found >= 0)[:, None], self.alphas[k][found], 0.0) + weight * p, p)
+                    weight = self.lambdas[k - 1][np.concatenate(([-1], before[:-1]))]
+                p = np.where(valid[:, None], self.alphas[k][found] + weight * p, p)
                 before = found
             bits = -np.log2(p)
             bits[starts] = 0
@@ -178,7 +200,7 @@ def choice(model: Model, bits: np.ndarray, n: int) -> tuple[str, float, float |
     rate = bits / n
     best = int(rate.argmin())
     p = 1 / np.exp2((rate[best] - rate) * min(n, 40)).sum()
-    return model.langs[best], float(p), float(rate[best]), bool(rate[best] > model.limit)
+    return model.langs[best], float(p), float(rate[best]), n >= ENOUGH and bool(rate[best] > model.limit)
 
 
 def train(docs: DataFrame, texts: int = TEXTS, order: int = ORDER) -> Model:
@@ -204,14 +226,14 @@ def train(docs: DataFrame, texts: int = TEXTS, order: int = ORDER) -> Model:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "word", "n"])
 
-    words = sample.where(~F.col("calibrate")).select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.where(~F.col("calibrate")).select("text", "lang").mapInArrow(lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     table = words.toArrow()
     counts: dict[str, Counter] = {}
     for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts.setdefault(lang, Counter())[word] = n
     model = Model.fit(counts, order)
     if model.langs:
-        held = identify(sample.where(F.col("calibrate")).select(F.lit(0).cast("long").alias("doc_id"), "text"), model).where(F.col("n_chars") >= 40)
+        held = identify(sample.where(F.col("calibrate")).select(F.lit(0).cast("long").alias("doc_id"), "text"), model).where(F.col("n_chars") >= ENOUGH)
         worst = held.agg(F.max("bits")).collect()[0][0]
         model.limit = worst * SLACK if worst is not None else float("inf")
     return model
@@ -222,14 +244,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is the language with the fewest bits a character (ties: the first by name), or ``und`` for a text that
     is null, empty or without a letter, or where the model has no language. score is the posterior of the choice
-    over at most 40 characters at equal priors, 0 for ``und``. rejected: ``und``, or bits above the model's limit.
+    over at most 40 characters at equal priors, 0 for ``und``. rejected: ``und``, or bits above the model's limit in a text
+    of ENOUGH characters.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    path = model.written(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64()), ("n_chars", pa.int64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.read(path)
         cache, scores = {}, [np.empty((0, len(model.langs)))]
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -241,7 +263,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, n_chars long, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, bits double, n_chars long, rejected boolean")
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -249,10 +271,10 @@ def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     Texts are labelled where they stand: rows are not joined, so repeated and null ids keep their own texts' labels.
     """
-    names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
+    names, path = docs.columns, model.written(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.read(path)
         cache, scores = {}, [np.empty((0, len(model.langs)))]
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -261,7 +283,7 @@ def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
                 kept = part.set_column(names.index("lang"), "lang", pa.array([x[0] for x in labels], part.schema.field("lang").type))
                 yield kept.filter(pa.array([not x[3] for x in labels]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def label_documents(docs: DataFrame, texts: int = TEXTS) -> DataFrame:

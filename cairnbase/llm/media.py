@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 UNIT = 192
 MCU_BYTES = 384
 MAX_ACROSS = 4000  # units of 16 pixels; a side has 65,535 pixels at most
@@ -406,7 +408,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
         yield from _flushed(rows(), schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
@@ -433,4 +435,4 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
 
         yield from _flushed(rows(), schema)
 
-    return media.mapInArrow(run, ddl)
+    return media.mapInArrow(lean(run), ddl)

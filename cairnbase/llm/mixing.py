@@ -144,12 +144,12 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     names = docs.columns
     grouped = mixed.groupBy("doc_id", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("rows")).where("c > 0")
-    per_doc = stored(grouped.withColumnsRenamed({"doc_id": "__id", "size": "__s"}), "mixing-copies")
+    per_doc = stored(grouped.withColumnsRenamed({"doc_id": "__id", "size": "__s", "c": "__c", "rows": "__rows"}), "mixing-copies")
     keyed = docs.withColumn("__size", word_count(F.col("text")))
     joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")))
-    out = joined.where("rows = 1").withColumn("__n", F.col("c"))
-    if per_doc.where("rows > 1").limit(1).count():
+    out = joined.where("__rows = 1").withColumn("__n", F.col("__c"))
+    if per_doc.where("__rows > 1").limit(1).count():
         place = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("text"))
-        shared = joined.where("rows > 1").withColumn("__n", F.floor(F.col("c") / F.col("rows")) + (place <= F.col("c") % F.col("rows")).cast("long"))
+        shared = joined.where("__rows > 1").withColumn("__n", F.floor(F.col("__c") / F.col("__rows")) + (place <= F.col("__c") % F.col("__rows")).cast("long"))
         out = out.unionByName(shared)
     return out.where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)

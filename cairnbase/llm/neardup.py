@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 from .hashing import BASE, mix, substring, sums
 
 WORDS = 5
@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         data = (text or "").encode()
         group.append(data)
         size += len(data) + 1
-        if size > 1 << 20:
+        if size > 1 << 18:
             out += _sets_of(group)
             group, size = [], 0
     return out + (_sets_of(group) if group else [])
@@ -160,7 +160,7 @@ def signatures_of(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, node long, signature binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                     keys = band_keys(np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES))
                     yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column("node").to_numpy(), BANDS))], ["band", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "band long, node long")
+    return classes.select("node", "signature").mapInArrow(lean(run), "band long, node long")
 
 
 def _judge(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -188,7 +188,7 @@ def _judge(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sa", "sb"))
                 yield batch.select(["a", "b"]).filter(pa.array(likely(sa, sb, similarity)))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, novel: bool = False) -> DataFrame:
@@ -211,7 +211,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, novel: bool =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("node", pa.int64()), ("shingles", pa.binary())]))
 
-    full = stored(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
+    full = stored(texts.mapInArrow(lean(sets), "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
     both = pairs.join(full.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(full.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
     fields = [("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())]
     schema = pa.schema([*fields, ("novel", pa.list_(pa.int64()))] if novel else fields)
@@ -227,7 +227,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, novel: bool =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long, common long, na long, nb long" + ", novel array<long>" * novel)
+    return both.select("a", "b", "xa", "xb").mapInArrow(lean(compare), "a long, b long, common long, na long, nb long" + ", novel array<long>" * novel)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,6 +336,11 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component; of rows that repeat a kept doc_id all stay."""
-    kept = link_documents(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """docs with one document of each component; of rows that repeat a kept doc_id all stay.
+
+    The ids to drop are the fewer, so they are what the texts are joined with: broadcast up to BROADCAST_IDS.
+    """
+    dropped = link_documents(docs).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("not any_kept").select(F.col("doc_id").alias("_dropped"))
+    dropped = stored(dropped, "neardup-dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
 #: Fixed patterns and limits of the base matches.
@@ -284,7 +286,7 @@ def train_field(docs: DataFrame, limit: int = TRAIN_DOCS) -> Field:
                 out.append(" \n ".join(keep))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
-    return Field.train(sorted(r["text"] for r in texts.mapInArrow(lines, "text string").collect()))
+    return Field.train(sorted(r["text"] for r in texts.mapInArrow(lean(lines), "text string").collect()))
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -309,4 +311,4 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), ddl)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import lean, shuffle_partitions, stored
 from .hashing import mix, substring, sums, tables
 
 LEAST = 100
@@ -31,7 +31,7 @@ REACH = LEAST - GRAM
 BROADCAST_BYTES = 48 << 20
 BROADCAST_ROWS = 500_000
 NO_ID = (1 << 63) - 1
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -47,11 +47,10 @@ def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def suffix_array(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray | bytes) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and the common prefix of each with the one before (prefix doubling, then Kasai)."""
-    n = len(data)
-    rank = np.frombuffer(data, np.uint8).astype(np.int64)
-    step = 1
+    letters = np.frombuffer(data, np.uint8).tolist() if isinstance(data, bytes) else data.tolist()
+    n, rank, step = len(letters), np.array(letters, np.int64), 1
     while True:
         after = np.full(n, -1, np.int64)
         after[: max(0, n - step)] = rank[step:]
@@ -62,14 +61,13 @@ def suffix_array(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         rank, step = new, step * 2
         if n == 0 or rank[order[-1]] == n - 1 or step > n:
             break
-    lcp, k, place = np.zeros(n, np.int64), 0, rank.tolist()
-    at = order.tolist()
+    lcp, k, place, at = np.zeros(n, np.int64), 0, rank.tolist(), order.tolist()
     for i in range(n):
         if place[i] == 0:
             k = 0
             continue
         j = at[place[i] - 1]
-        while i + k < n and j + k < n and data[i + k] == data[j + k]:
+        while i + k < n and j + k < n and letters[i + k] == letters[j + k]:
             k += 1
         lcp[place[i]] = k
         k = max(0, k - 1)
@@ -79,28 +77,22 @@ def suffix_array(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def maximal_repeats(texts: list[bytes], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(text, start), ...]) of every maximal repeat of at least ``least`` bytes within or across texts.
 
-    No match crosses a text. For corpora that fit one array; remove_repeats() works on any size.
+    Each text ends in a letter of its own, so that no match crosses a text. The interval tree of the array is scanned
+    once; an interval counts if the bytes to the left of its suffixes differ (the start of each text is a byte of its
+    own). For corpora that fit one array; remove_repeats() works on any size.
     """
-    data, owner = b"".join(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    starts = np.cumsum([0, *(len(t) for t in texts)])
-    order, lcp = suffix_array(data)
-    if not len(order):
-        return []
-    room = starts[owner[order] + 1] - order  # bytes to the end of the text
-    # a suffix ends with its text: cut prefixes there, and put suffixes that the cut makes equal side by side
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(room[1:], room[:-1]))
-    keep = np.flatnonzero(room >= least)  # the common prefix across left-out suffixes is the least one between
-    if not len(keep):
+    if not texts:
         return []
-    short = np.zeros(len(keep), np.int64)
-    if len(keep) > 1:
-        short[1:] = [lcp[a + 1 : b + 1].min() for a, b in zip(keep[:-1], keep[1:], strict=True)]
-    order, out = order[keep], []
-    for length, first, last in lcp_intervals(short.tolist(), least):
-        place = order[first : last + 1]
-        left = {data[p - 1] if p > starts[owner[p]] else -1 - int(owner[p]) for p in place.tolist()}
+    data = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int64), 256 + i) for i, t in enumerate(texts)])
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    order, lcp = suffix_array(data)
+    out = []
+    for length, first, last in lcp_intervals(lcp.tolist(), least):
+        members = order[first : last + 1].tolist()
+        left = {int(data[p - 1]) if p > starts[owner[p]] else -1 - int(owner[p]) for p in members}
         if len(left) > 1:
-            out.append((length, sorted((int(owner[p]), int(p - starts[owner[p]])) for p in place)))
+            out.append((length, sorted((int(owner[p]), int(p - starts[owner[p]])) for p in members)))
     return out
 
 
@@ -383,11 +375,11 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     heads = hashed.groupBy("h").agg(F.min(F.struct("doc", "alt")).alias("head"), F.count("*").alias("n")).where("n > 1")
     copies = stored(hashed.join(heads, "h").where(F.struct("doc", "alt") != F.col("head")).select("doc", "alt", F.lit(b"").alias("packed")).distinct(), "repeats-copies")
     distinct = _beside(docs, copies, "left_anti")
-    found = stored(distinct.mapInArrow(_occurrences, "a long, c long, doc long, alt long, at long").repartition(n, "a").mapInArrow(_settle, "kind int, doc long, alt long, start int, stop int"), "repeats-found")
-    edges = stored(found.where(F.col("kind") == _EDGE).repartition(n, "doc", "alt").mapInArrow(_by_document(_EDGE), "doc long, alt long, packed binary"), "repeats-edges")
-    contexts = _beside(docs, edges, "inner").select("doc", "alt", "text", "packed").mapInArrow(_contexts, "a long, doc long, alt long, at long, left binary, right binary")
-    compared = contexts.repartition(n, "a").mapInArrow(_compare, "kind int, doc long, alt long, start int, stop int")
-    spans = found.where(F.col("kind") == _SPAN).unionByName(compared).repartition(n, "doc", "alt").mapInArrow(_by_document(_SPAN), "doc long, alt long, packed binary")
+    found = stored(distinct.mapInArrow(lean(_occurrences), "a long, c long, doc long, alt long, at long").repartition(n, "a").mapInArrow(lean(_settle), "kind int, doc long, alt long, start int, stop int"), "repeats-found")
+    edges = stored(found.where(F.col("kind") == _EDGE).repartition(n, "doc", "alt").mapInArrow(lean(_by_document(_EDGE)), "doc long, alt long, packed binary"), "repeats-edges")
+    contexts = _beside(docs, edges, "inner").select("doc", "alt", "text", "packed").mapInArrow(lean(_contexts), "a long, doc long, alt long, at long, left binary, right binary")
+    compared = contexts.repartition(n, "a").mapInArrow(lean(_compare), "kind int, doc long, alt long, start int, stop int")
+    spans = found.where(F.col("kind") == _SPAN).unionByName(compared).repartition(n, "doc", "alt").mapInArrow(lean(_by_document(_SPAN)), "doc long, alt long, packed binary")
     return stored(copies.withColumn("whole", F.lit(True)).unionByName(spans.withColumn("whole", F.lit(False))), "repeats-spans")
 
 
@@ -399,10 +391,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     document and have equal results; with different texts they are documents in the order of a hash of the text.
     """
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    per_id = keyed.select("doc", F.xxhash64("text").alias("h")).distinct().groupBy("doc").agg(F.count("*").alias("n"))
-    repeated = bool(per_id.where("n > 1").limit(1).count())
-    keyed = keyed.withColumn("alt", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
-    side = find_repeats(keyed.select("doc", "alt", "text").where(F.octet_length("text") >= LEAST))
+    # ids as a rule are unique: only where they are not are rows told apart by their texts, and equal rows made one
+    rows = keyed.groupBy("doc", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
+    ids = rows.groupBy("doc").agg(F.max("n").alias("equal"), F.count("*").alias("texts")).agg(F.max("equal").alias("equal"), F.max("texts").alias("texts")).head()
+    keyed = keyed.withColumn("alt", F.xxhash64("text") if (ids["texts"] or 0) > 1 else F.lit(0).cast("long"))
+    long = keyed.select("doc", "alt", "text").where(F.octet_length("text") >= LEAST)
+    side = find_repeats(long.dropDuplicates(["doc", "alt"]) if (ids["equal"] or 0) > 1 else long)
     joined = _beside(keyed, side, "left").select("doc_id", "text", "whole", "packed")
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -428,4 +422,4 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(cut, ddl)
+    return joined.mapInArrow(lean(cut), ddl)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, shuffle_partitions, stored
+from .common import filesystem, lean, scratch, shuffle_partitions, stored
 
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
@@ -173,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True), MANIFEST, strict=True)], schema=MANIFEST)
 
-    return stored(dealt.mapInArrow(write, "path string, bytes long, records long"), "warc-written")
+    return stored(dealt.mapInArrow(lean(write), "path string, bytes long, records long"), "warc-written")
 
 
 def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -193,7 +193,7 @@ def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([sum(n for _, n in index)], pa.int64()), pa.array([len(index)], pa.int64())], schema=MANIFEST)
 
     spread = manifest.repartition(max(2, shuffle_partitions(manifest.sparkSession)), "path")
-    return stored(spread.mapInArrow(run, "path string, bytes long, records long"), "warc-records")
+    return stored(spread.mapInArrow(lean(run), "path string, bytes long, records long"), "warc-records")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
@@ -224,7 +224,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     spread = manifest.repartition(max(2, shuffle_partitions(manifest.sparkSession)), "path")
-    return spread.mapInArrow(run, ddl)
+    return spread.mapInArrow(lean(run), ddl)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
