@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, shuffle_partitions, stored
+from .common import filesystem, lean, scratch, shuffle_partitions, stored
 
 MAGIC = b"CTID"
 HEADER = struct.Struct("<4sBBHI")
@@ -29,8 +30,11 @@ FOOTER = struct.Struct("<QQQQ4s")
 BLOCK = 1 << 16
 #: White space other than the space, tab and line ends: a text that has any is encoded whole.
 RARE_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+RARE_ASCII = "".join(c for c in RARE_SPACE if c.isascii())
 #: A space next to these does not begin a piece.
 PAIRS = tuple(p for c in " \t\n\r" for p in (f" {c}", f"{c} "))
+#: Texts are encoded together up to so many characters.
+GROUP_CHARS = 3_000_000
 #: Pieces whose ids a worker keeps: the first that it meets, among which are the frequent ones.
 CACHE = 500_000
 
@@ -73,6 +77,19 @@ def unpack(data: bytes, width: int, n: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
+def in_groups(column: pa.Array, chars: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """The texts of a column (null: empty), in lists of about ``chars`` characters."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Writer:
     """Writes one file, a block at a time."""
 
@@ -144,7 +161,7 @@ class Reader:
             part = self.ids_of_block(b)[i : i + end - start]
             parts.append(part)
             start += len(part)
-        return np.concatenate(parts) if len(parts) != 1 else parts[0]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint32), *parts])
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.firsts[i]), int(self.counts[i]))
@@ -197,21 +214,48 @@ class Encoder:
         data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
         return {part: data[i:j] for part, i, j in zip(parts, at, at[1:], strict=False)}
 
-    def __call__(self, text: str) -> np.ndarray:
-        """The ids of a text, as unsigned 32-bit integers."""
-        if not self.by_piece or any(c in text for c in RARE_SPACE) or any(p in text for p in PAIRS) or any(a in text for a in self.added):
-            return self.whole(text)
-        parts, cache = text.split(" "), self.cache
-        if len(parts) < 2 or not parts[0] or not parts[-1]:
-            return self.whole(text)
-        try:
-            rest = [cache[p] for p in parts[1:]]
-        except KeyError:
-            new = self._learn([p for p in dict.fromkeys(parts[1:]) if p not in cache])
+    def _in_parts(self, text: str) -> bool:
+        """Whether each space of the text begins a piece."""
+        if not self.by_piece or " " not in text or text[0] == " " or text[-1] == " ":
+            return False
+        return not (any(c in text for c in (RARE_ASCII if text.isascii() else RARE_SPACE)) or any(p in text for p in PAIRS) or any(a in text for a in self.added))
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers. Equal parts of all the texts are looked up once."""
+        split = [i for i, t in enumerate(texts) if self._in_parts(t)]
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for i in set(range(len(texts))).difference(split):
+            out[i] = self.whole(texts[i])
+        if not split:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in split], pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        index, parts, cache = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist(), self.cache
+        found = list(map(cache.get, parts))
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            new = self._learn([parts[i] for i in gaps])
             if len(cache) + len(new) <= CACHE:
                 cache.update(new)
-            rest = [cache.get(p) or new[p] for p in parts[1:]]
-        return np.frombuffer(b"".join([self.whole(parts[0]).tobytes(), *rest]), np.uint32)
+            for i in gaps:
+                found[i] = new[parts[i]]
+        # the first part of a text has no space before it, and so ids of its own
+        firsts = self.tokenizer.encode_batch_fast([parts[i] for i in index[offsets[:-1]]], add_special_tokens=False)
+        index[offsets[:-1]] = len(found) + np.arange(len(split))
+        found += [np.array(f.ids, np.uint32).tobytes() for f in firsts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths
+        n = lengths[index]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[index] - ends + n, n) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[offsets].tolist()
+        for i, a, b in zip(split, bounds, bounds[1:], strict=False):
+            out[i] = ids[a:b]
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, folder: str | None = None) -> DataFrame:
@@ -237,9 +281,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{root}/{name}")
                 writer, doc_ids = Writer(sink, vocabulary_bits(max(encoder.size, (end_id or 0) + 1))), []
-            for text in batch.column("text"):
-                ids = encoder(text.as_py() or "")
-                writer.add(np.append(ids, np.uint32(end_id)) if end_id is not None else ids)
+            for texts in in_groups(batch.column("text")):
+                for ids in encoder.many(texts):
+                    writer.add(np.append(ids, np.uint32(end_id)) if end_id is not None else ids)
             doc_ids.append(batch.column("doc_id"))
         if writer is None:
             return
@@ -252,7 +296,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64()))]))
 
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(encode, "part long, path string, bytes long, n_docs long, n_ids long, doc_ids array<long>"), "token-manifest")
+    return stored(ordered.mapInArrow(lean(encode), "part long, path string, bytes long, n_docs long, n_ids long, doc_ids array<long>"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -278,4 +322,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
