@@ -152,6 +152,35 @@ class KnowledgeBase:
     def compare(self, a: int, b: int) -> dict:
         return retrieval.compare_pair(self._all(), a, b)
 
+    def rebuild_index(self) -> None:
+        """Text and caption vectors anew from chunks and captions; other indexes stay."""
+        from ..models import embed
+
+        texts = embed(self["chunks"].select(F.col("id").alias("chunk_id"), "file_id", "chapter_id", "page", "text"), "text", self.embedder)
+        self.tables["vec_text"] = texts.where("vector is not null").drop("text")
+        captions = embed(self["images"].where("trim(vlm_description) <> ''").select("file_id", "vlm_description"), "vlm_description", self.embedder)
+        self.tables["vec_captions"] = captions.drop("vlm_description")
+
+    def keep(self, entity_id: int) -> None:
+        """An unresolved entity becomes active; any other is left alone."""
+        self._set_status(entity_id, "unresolved", "active")
+
+    def reopen(self, entity_id: int) -> None:
+        self._set_status(entity_id, "active", "unresolved")
+
+    def _set_status(self, entity_id: int, before: str, after: str) -> None:
+        from ..operators.mutate import set_where
+
+        self.tables["entities"] = set_where(self["entities"], (F.col("id") == entity_id) & (F.col("status") == before), status=F.lit(after))
+
+    def topics(self, file_id: int, least: int = 5) -> DataFrame:
+        """path, content of the topic pages of a file."""
+        from ..sources.wiki import topic_pages
+
+        tops = structure.top_level(self["chapters"].where(F.col("file_id") == file_id).select("id", "parent_id"))
+        clusters = E.topic_clusters(self["mentions"].where(F.col("file_id") == file_id), self["chunks"].where(F.col("file_id") == file_id), tops, least=least)
+        return topic_pages(clusters, self["chapters"], self["files"], self["entities"], self["claims"])
+
     def recent_merges(self) -> DataFrame:
         """Merges of the latest batch that can be undone."""
         m = self["entity_merges"].where("committed_sha is not null and moved is not null")

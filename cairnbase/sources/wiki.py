@@ -148,3 +148,34 @@ def file_answer(existing: str | None, title: str, answer: str, pages: list[tuple
     if answer.strip() in existing:
         return None
     return existing.rstrip("\n") + f"\n\n## Update {date}\n\n{answer.strip()}\n"
+
+
+def topic_pages(clusters: DataFrame, chapters: DataFrame, files: DataFrame, entities: DataFrame, claims: DataFrame, cap: int = 15) -> DataFrame:
+    """path, content of a page for each topic cluster (top_id, entities): its entities, those with the most claims first, and their first active claim."""
+    from pyspark.sql import Window
+
+    from ..functions.text import slug
+    from ..operators.entities import first_claims, with_slugs
+
+    n = claims.groupBy("entity_id").agg(F.count("*").alias("n_claims"))
+    each = clusters.select("top_id", F.explode("entities").alias("entity_id")).join(n, "entity_id", "left").join(first_claims(claims).select("entity_id", "claim"), "entity_id", "left")
+    named = with_slugs(entities).where("status = 'active'").select(F.col("id").alias("entity_id"), "name", "slug")
+    rn = F.row_number().over(Window.partitionBy("top_id").orderBy(F.desc(F.coalesce("n_claims", F.lit(0))), "entity_id"))
+    line = F.concat(F.lit("- [["), F.col("slug"), F.lit("|"), F.col("name"), F.lit("]]"), F.when(F.col("claim").isNotNull(), F.concat(F.lit(" — "), F.col("claim"))).otherwise(""))
+    lists = each.join(named, "entity_id").withColumn("rn", rn).where(F.col("rn") <= cap).groupBy("top_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    c = chapters.select(F.col("id").alias("top_id"), "title", "file_id").join(files.select(F.col("id").alias("file_id"), "filename"), "file_id")
+    stem = slug(F.regexp_replace("filename", r"\.[^.]+$", ""), 80)
+    return lists.join(c, "top_id").select(
+        F.concat(F.lit("topics/"), stem, F.lit("--"), slug(F.col("title"), 80), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# "), F.col("title"), F.lit("\n\n> "), F.col("filename"), F.lit("\n\n"), F.col("lines"), F.lit("\n")).alias("content"),
+    )
+
+
+def stale_topics(written: DataFrame, pages: DataFrame, stem: str) -> DataFrame:
+    """Topic pages of a file (by the stem of its name) that its last run has not written."""
+    return pages.where(F.col("path").startswith(f"topics/{stem}--")).join(written.select("path"), "path", "left_anti").select("path")
+
+
+def missing_files(rendered_pages: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rendered pages whose file is not there; a page that exists is never overwritten."""
+    return rendered_pages.join(pages.select("path"), "path", "left_anti")

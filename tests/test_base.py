@@ -92,6 +92,25 @@ def test_compare_and_locate(base, spark):
     assert retrieval.similar_question(filed, hash_embedding("rivers")).count() == 0
 
 
+def test_pages_and_index(base, spark):
+    from cairnbase.sources import wiki
+
+    page = base.topics(1, least=1).head()
+    assert page["path"] == "topics/a--cakes.md" and "- [[cake|Cake]] — Bake 30 min." in page["content"]
+    there = spark.createDataFrame([("topics/a--cakes.md", ""), ("topics/a--old.md", "")], "path string, content string")
+    assert [r["path"] for r in wiki.stale_topics(base.topics(1, least=1), there, "a").collect()] == ["topics/a--old.md"]
+    made = wiki.entity_pages(base["entities"], base["claims"], spark.createDataFrame([(1000, "a.pdf p.1")], "claim_id long, sources string"))
+    assert {r["path"] for r in wiki.missing_files(made, there).collect()} == {"entities/cake.md", "entities/oven.md"}
+    assert "_(source: a.pdf p.1)_" in made.where("path like '%cake%'").head()["content"]
+    assert "[[cake|Cake]]" in wiki.index_page(base["entities"]).head()["content"]
+    new = KnowledgeBase(spark, dict(base.tables))
+    new.rebuild_index()
+    assert new["vec_text"].count() == 3 and new["vec_captions"].count() == 2
+    new.reopen(100)
+    new.keep(101)
+    assert {r["id"]: r["status"] for r in new["entities"].collect()} == {100: "unresolved", 101: "active"}
+
+
 def test_round_trip_and_command_line(base, tmp_path, capsys):
     base.save(str(tmp_path))
     again = KnowledgeBase.load(base.spark, str(tmp_path))

@@ -139,3 +139,18 @@ def test_topics(spark):
     chunks = spark.createDataFrame([(1, 20), (2, 30)], "id long, chapter_id long")
     tops = spark.createDataFrame([(20, 10), (30, 30)], "id long, top_id long")
     assert {r["top_id"]: r["entities"] for r in E.topic_clusters(m, chunks, tops, least=1).collect()} == {10: [1, 2], 30: [3]}
+
+
+def test_clear_and_prune(spark):
+    m = spark.createDataFrame([(1, 10, 1), (2, 20, 2)], "id long, entity_id long, file_id long")
+    c = spark.createDataFrame([(5, 30, 1), (6, 20, 2)], "id long, entity_id long, file_id long")
+    cs = spark.createDataFrame([(1, 5), (2, 6)], "id long, claim_id long")
+    r = spark.createDataFrame([(1, 1), (2, 2)], "id long, file_id long")
+    out = mutate.clear_synthesis(m, c, cs, r, spark.createDataFrame([(1,)], "file_id long"))
+    assert {x["entity_id"] for x in out["touched"].collect()} == {10, 30}
+    assert [out[k].count() for k in ("mentions", "claims", "claim_sources", "reviews")] == [1, 1, 1, 1]
+    e = spark.createDataFrame([entity(1, "350 ms", path="entities/x.md"), entity(2, "Cake", path="entities/y.md")], ENTITY)
+    pages = spark.createDataFrame([("entities/x.md", 2), ("entities/z.md", 1)], "path string, entity_id long")
+    done = mutate.prune_entities(e, pages, E.junk(e).select("id"))
+    assert {x["id"]: (x["status"], x["wiki_path"]) for x in done["entities"].collect()} == {1: ("pruned", None), 2: ("active", "entities/y.md")}
+    assert [x["path"] for x in done["wiki_pages"].collect()] == ["entities/x.md"]  # the row belongs to another entity
