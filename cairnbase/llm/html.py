@@ -92,7 +92,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].name in SCOPES and name not in BLOCK:
                     break
-            skip = next((len(stack) - i for i, n in enumerate(stack) if n.drop), 0)
+            skip = skip and next((len(stack) - i for i, n in enumerate(stack) if n.drop), 0)
             continue
         if name in ("html", "body") and any(n.name == name for n in stack):
             continue
@@ -107,7 +107,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].name in SCOPES:
                     break
-            skip = next((len(stack) - i for i, n in enumerate(stack) if n.drop), 0)
+            skip = skip and next((len(stack) - i for i, n in enumerate(stack) if n.drop), 0)
         node = Node(name, stack[-1], skip > 0 or _furniture(name, rest, stack))
         stack[-1].children.append(node)
         if name in VOID:

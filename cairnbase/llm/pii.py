@@ -35,7 +35,11 @@ TRAIN_DOCS = 4000
 #: Rounds of messages, and the marginal from which a label is added.
 ROUNDS = 12
 SURE = 0.8
-CANDIDATE = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+#: The same matches as the patterns give, found in linear time: an address by its @, and an ip only where digits begin.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CORE = re.compile(r"[A-Za-z0-9+(](?:.*[A-Za-z0-9)])?", re.S)
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _NOT_WORD = re.compile(r"[^0-9a-z]")
@@ -59,13 +63,28 @@ def _valid(kind: str, found: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            end = domain.end()
+            out.append((start, end))
+        at = text.find("@", max(at + 1, end))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the pattern matches, by kind and start."""
     out = []
     for k, kind in enumerate(KINDS):
-        if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text):
-            continue
-        out += [(k, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m.group())]
+        if kind == "email":
+            out += [(k, *span) for span in _addresses(text)]
+        elif kind != "phone" or "+" in text:
+            out += [(k, m.start(), m.end()) for m in (_IP if kind == "ip" else PATTERNS[kind]).finditer(text) if _valid(kind, m.group())]
     return out
 
 

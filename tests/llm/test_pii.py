@@ -2,6 +2,8 @@ import hashlib
 import itertools
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cairnbase.llm import pii as P
 
@@ -19,6 +21,19 @@ def test_base_rules():
     assert P.luhn("4111111111111111") and not P.luhn("4111111111111112")
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1_.@-+ (5", max_size=40))
+def test_base_spans_equal_the_patterns(text):
+    want = [(k, m.start(), m.end()) for k, kind in enumerate(P.KINDS) for m in P.PATTERNS[kind].finditer(text) if P._valid(kind, m.group())]
+    assert P.base_spans(text) == want
+
+
+def test_long_runs_are_linear():
+    for text in ("a" * 300_000 + " @", "1" * 300_000, "x@" * 100_000, "+1" * 100_000, "a" * 300_000 + "1"):
+        P.base_spans(text)
+        P.tokens_of(text)
+
+
 def training():
     out = []
     for i in range(60):
