@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, lean, scratch
+from .common import filesystem, lean, scratch, trim
 
 ORDER = 5
 #: Texts of each language that a model is fitted on, about: the bound of the training sample.
@@ -96,7 +96,8 @@ class Model:
             keys.append(np.unique(np.concatenate([g[k]["key"] for g in grams])) if grams else np.empty(0, np.uint64))
             alphas.append(np.zeros((len(keys[k]), len(langs)), np.float32))
             lambdas.append(np.ones((len(keys[k]), len(langs)), np.float32))
-        for j, per in enumerate(grams):
+        for j in range(len(grams)):
+            per, grams[j] = grams[j], None
             for k, g in enumerate(per):
                 count = g["raw"].astype(float)
                 if k + 1 < order:  # how many characters come before it; at the start of a word none can
@@ -227,11 +228,16 @@ def train(docs: DataFrame, texts: int = TEXTS, order: int = ORDER) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "word", "n"])
 
     words = sample.where(~F.col("calibrate")).select("text", "lang").mapInArrow(lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    pa.set_memory_pool(pa.system_memory_pool())
     table = words.toArrow()
     counts: dict[str, Counter] = {}
-    for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts.setdefault(lang, Counter())[word] = n
+    for batch in table.to_batches():
+        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            counts.setdefault(lang, Counter())[word] = n
+    del table
     model = Model.fit(counts, order)
+    del counts
+    trim()
     if model.langs:
         held = identify(sample.where(F.col("calibrate")).select(F.lit(0).cast("long").alias("doc_id"), "text"), model).where(F.col("n_chars") >= ENOUGH)
         worst = held.agg(F.max("bits")).collect()[0][0]

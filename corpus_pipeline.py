@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnbase.llm import decontam, langid, mixing, neardup, tokens
-from cairnbase.llm.common import stored
+from cairnbase.llm.common import small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; lang becomes the predicted one. Null and letterless texts go."""
+    small_batches(spark)
     model = langid.train(docs.where(langid.in_training(F.col("doc_id"))))
     return langid.keep_accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    small_batches(spark)
     return neardup.drop_near_duplicates(docs)
 
 
@@ -38,6 +40,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token-id files of the mix; returns what is read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
+    small_batches(spark)
     return tokens.read_token_files(tokens.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
