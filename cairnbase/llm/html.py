@@ -2,7 +2,8 @@
 
 A page is parsed into a tree. Each node has a density, its characters for each tag, lowered where much of its text
 is in links. The node with the largest sum of its children's densities is the heart of the page; the smallest
-density on the path from there to the body is the threshold above which its ancestors still count as content.
+density on the path from there to the body is the threshold. The main text is the outermost article or main element
+on that path; in a page without one it is the body, without subtrees of links below the threshold.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ ENDS_P = BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "tbody", "thea
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 #: How far up an open element is looked for.
 SCOPES = frozenset("table ul ol dl div article section main body aside nav".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that hold parts of a page.
+GROUPS = frozenset("address blockquote center details div fieldset figure header section".split())
 #: Elements that are never main text.
 FURNITURE = frozenset("nav footer aside form menu dialog script style noscript template iframe object svg math textarea select button title head".split())
 #: Parts of class names and ids that name furniture.
@@ -158,7 +162,7 @@ def composite_density(chars: int, link_chars: int, tags: int, link_tags: int, al
 
 
 def main_node(root: Node) -> Node | None:
-    """The subtree that holds the main text."""
+    """The subtree that holds the main text; in a page without article or main, its subtrees of links get dropped."""
     order, chars, links = _measure(root)
     body = next((n for n in order if n.name == "body"), root)
     for node in order:
@@ -174,16 +178,35 @@ def main_node(root: Node) -> Node | None:
         if node is body:
             break
         node = node.parent
-    threshold = min(n.density for n in path)
     whole = [n for n in path if n.name in ("article", "main")]
     if whole:
         return whole[-1]
-    best = heart
-    for node in path[1:]:  # ancestors stay content as long as they are no thinner than the body's path allows
-        if node.density < threshold or node.density * 4 < best.density and node.chars < 1.02 * best.chars:
-            break
-        best = node
-    return best
+    _thin_out(path, order)
+    return path[-1]
+
+
+def _thin_out(path: list[Node], order: list[Node]) -> None:
+    """Drop what is below the threshold of the path (heart first) and has most of its text in links.
+
+    Few characters for each tag alone do not count: headings, short paragraphs and tables have few too. Lists and
+    tables are judged as a whole, a group of parts only if each is a heading or goes as well. A paragraph's only link
+    is text, and a heart of links keeps them. order: all nodes, children last.
+    """
+    threshold, on_path, heart = min(n.density for n in path), set(path), path[0]
+    thin: set[Node] = set()
+    for n in reversed(order):
+        if n.density < threshold and 2 * n.link_chars > n.chars and n.name in BLOCK and n.name not in HEADINGS and n not in on_path and n.link_tags > (n.name == "p"):
+            parts = [c for c in n.children if isinstance(c, Node) and c.chars and c.name in BLOCK and not c.drop] if n.name in GROUPS else []
+            if all(c in thin or c.name in HEADINGS for c in parts):
+                thin.add(n)
+    todo = [path[-1]]
+    while todo:
+        node = todo.pop()
+        for c in node.children if node is not heart or 2 * node.link_chars <= node.chars else ():
+            if c in thin:
+                c.drop = True
+            elif isinstance(c, Node) and not c.drop and (c in on_path or c.name in GROUPS):
+                todo.append(c)
 
 
 def main_text(page: str) -> str:

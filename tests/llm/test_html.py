@@ -22,6 +22,28 @@ def test_main_text(page, want):
     assert H.main_text(page) == want
 
 
+LINKS = "".join(f"<li><a href=/{i}>Section no {i}</a></li>" for i in range(8))
+MENU, AD = f"<div><ul>{LINKS}</ul></div>", "<div><a href=x>Buy these shoes</a> now</div>"
+TEXT = "".join(f"<p>{i} {LONG} {LONG} With <a href=y>a link</a> inside. {LONG}</p>" for i in range(4))
+PLAIN = " ".join(f"{i} {LONG} {LONG} With a link inside. {LONG}" for i in range(4))
+LINK_TEXT = " ".join(f"Section no {i}" for i in range(8))
+UNMARKED = [
+    (f"<body>{MENU}<div>{TEXT}</div>{AD}</body>", PLAIN),
+    (f"<body>{MENU}<h1>Title</h1>{TEXT}{AD}", f"Title {PLAIN}"),  # no element of the text's own
+    (f"<body><div><div><p>Short.</p>{MENU}</div><div><h2><a href=z>Title</a></h2>{TEXT}</div></div>", f"Short. Title {PLAIN}"),
+    (f"<body><table><tr><td><ul>{LINKS}</ul><td>{TEXT}</table>", PLAIN),
+    (f"<body>{MENU}<x-page>{TEXT}<p><a href=z>Read the report</a></p></x-page>", f"{PLAIN} Read the report"),
+    (f"<body><div>{TEXT}</div><table><tr><td>x<td>y<td>z</table><p>By <a href=b>B.</a> Author</p>", f"{PLAIN} x y z By B. Author"),
+    (f"<body><ul>{LINKS}</ul></body>", LINK_TEXT),  # nothing but links
+    (f"<body><article>{TEXT}<ul>{LINKS}</ul></article></body>", f"{PLAIN} {LINK_TEXT}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), UNMARKED)
+def test_link_lists_without_a_mark(page, want):
+    assert H.main_text(page) == want
+
+
 def test_density_prefers_text_to_links():
     dense = H.composite_density(1000, 10, 5, 1, 2000, 500)
     links = H.composite_density(1000, 950, 60, 50, 2000, 500)
