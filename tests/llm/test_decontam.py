@@ -1,3 +1,6 @@
+from itertools import combinations
+from math import ceil
+
 import numpy as np
 
 from cairnbase.llm import decontam as D
@@ -37,6 +40,22 @@ def test_planted_passages(spark):
     assert {r["doc_id"] for r in D.remove_contaminated(df, bench(spark, items)).collect()} == {4, 5, 6, 7, 8, 9}
 
 
+def test_every_tolerated_substitution_is_found(spark):
+    items = [some(n) for n in (10, 11, 12, 16, 40)]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        part = item[13:29] if len(item) > 16 else item  # of the long item a window is all that the text has
+        few = len(part) - ceil(len(part) * D.AGREE)
+        for gone in combinations(range(len(part)), few):
+            want.add((len(texts), k))
+            texts.append(" ".join(["before", *("changed" if i in gone else w for i, w in enumerate(part)), "after"]))
+        texts.append(" ".join(["changed" if i % 3 == 0 else w for i, w in enumerate(part)]))  # too many
+    texts.append(" ".join(items[3][4:]))  # 12 of 16 words at the end of the item
+    want.add((len(texts) - 1, 3))
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_overlaps(docs(spark, texts), bench(spark, map(" ".join, items))).collect()}
+    assert got == want
+
+
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     items = [" ".join(some(30)) for _ in range(5)]
     texts = [" ".join(some(30) + items[i % 5].split() + some(5)) for i in range(12)]
