@@ -277,17 +277,29 @@ def _beside_leader(near: DataFrame, percent: int) -> DataFrame:
     return small.union(share).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
+def _across_leaders(members: DataFrame, bit: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket, one near to this round's leader alone, the other to earlier ones alone.
+
+    A link between them takes that either is on the border: so unlike all leaders that it was near to that the other
+    can be far from them.
+    """
+    border = members.where("border and near > 0")
+    i = border.where(F.col("near") == bit).select("band", F.col("node").alias("i"))
+    j = border.where(F.col("near") < bit).select("band", F.col("node").alias("j"))
+    return i.join(j, "band").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def find_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, leaders: int = LEADERS) -> DataFrame:
     """Links (a, b) between classes: enough of them to connect all that are linked, none that is not exact."""
     bands = _bands(classes)
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     active = stored(bands.join(sizes, "band"), "neardup-members")
     company = active.groupBy("node").agg(F.sum("n").alias("company"))
-    active = active.join(company, "node").select("band", "node", "company", F.lit(True).alias("fresh"))
-    links = None
-    for _ in range(leaders):
-        # fresh members have not been compared with another leader of the bucket; it takes one of them to lead
-        lead = active.groupBy("band").agg(F.max_by("node", F.when(F.col("fresh"), F.struct("company", -F.col("node")))).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    active = active.join(company, "node").select("band", "node", "company", F.lit(0).alias("near"), F.lit(True).alias("border"))
+    fresh, links = F.col("near") == 0, None
+    for k in range(leaders):
+        # near: the rounds whose leader of the bucket a member was near to, as bits; fresh members have none, and it takes one of them to lead
+        lead = active.groupBy("band").agg(F.max_by("node", F.when(fresh, F.struct("company", -F.col("node")))).alias("lead"), F.count("*").alias("n")).where("n > 1")
         members = stored(active.join(lead.select("band", "lead"), "band").where("node <> lead"), "neardup-round")
         if not members.limit(1).count():
             empty = members.select(F.col("lead").alias("a"), F.col("node").alias("b"))
@@ -296,13 +308,17 @@ def find_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, lead
         near = stored(_exact(stored(_judge(stars, classes, RATED), "neardup-likely"), docs, classes, novel=True), "neardup-near")
         found = near.where(_is_link(percent)).select("a", "b")
         links = found if links is None else links.union(found)
-        rated = near.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("common").alias("c"), F.col("nb").alias("n"), _is_link(percent).alias("linked"), "novel")
-        links = links.union(_linked(stored(_beside_leader(rated, percent), "neardup-beside"), docs, classes, percent))
-        placed = members.join(rated.select("lead", "node", "linked"), ["lead", "node"], "left").where("linked is null or not linked")
-        rest = stored(placed.select("band", "node", "company", (F.col("fresh") & F.col("linked").isNull()).alias("fresh")), "neardup-rest")
+        rated = near.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("common").alias("c"), F.col("nb").alias("n"), _is_link(percent).alias("linked"), "novel", (F.col("common") < (F.col("na") + F.col("nb") - F.col("common")) * (RATED + 1 - percent / 100)).alias("loose"))
+        placed = members.join(rated.select("lead", "node", "linked", "loose"), ["lead", "node"], "left").where("linked is null or not linked")
+        now = F.col("near") + F.when(F.col("linked").isNull(), 0).otherwise(1 << k)
+        rest = stored(placed.select("band", "node", "company", now.alias("near"), (F.col("border") & F.coalesce("loose", F.lit(True))).alias("border")), "neardup-rest")
+        pairs = _beside_leader(rated.drop("loose"), percent)
+        if k:
+            pairs = pairs.union(_across_leaders(rest, 1 << k)).distinct()
+        links = links.union(_linked(stored(pairs, "neardup-beside"), docs, classes, percent))
         # a bucket goes on as long as a member is too far from its leader to be judged by it
-        active = rest.join(rest.where("fresh").select("band").distinct(), "band", "left_semi")
-    left = active.select("band", F.col("node").alias("i"), "fresh").where("fresh").drop("fresh").join(active.select("band", F.col("node").alias("j")), "band").where("i <> j")
+        active = rest.join(rest.where(fresh).select("band").distinct(), "band", "left_semi")
+    left = active.where(fresh).select("band", F.col("node").alias("i")).join(active.select("band", F.col("node").alias("j")), "band").where("i <> j")
     left = stored(left.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "neardup-left")
     return links.union(_linked(left, docs, classes, percent))
 

@@ -76,6 +76,19 @@ def test_one_large_group_whose_members_are_unlike(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_pair_without_a_common_leader(spark, monkeypatch):
+    """Two linked texts in one bucket, each near to the leader that the other is far from."""
+    common, x, y = ([f"{k}{i}" for i in range(n)] for k, n in (("c", 90), ("x", 14), ("y", 14)))
+    texts = [" ".join(t) for t in (common + x, common + y, common[-4:] + x, common[-4:] + y)]
+    rows = N.signatures_of(docs(spark, texts)).collect()
+    node = {r["doc_id"]: r["node"] for r in rows}
+    # the leaders, 2 before 3, have company in buckets of their own
+    bands = [(1, node[i]) for i in range(4)] + [(2, node[2]), (2, 5), (3, node[2]), (3, 6), (4, node[3]), (4, 7)]
+    monkeypatch.setattr(N, "_bands", lambda _: spark.createDataFrame(bands, "band long, node long"))
+    found = {tuple(sorted((r["component_id"], r["doc_id"]))) for r in N.link_documents(docs(spark, texts)).collect()}
+    assert found == {(0, 0), (0, 1), (2, 2), (3, 3)}
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = N.link_documents(docs(spark, [text, text, "other words", None, text], ids=[7, 7, 7, None, None])).collect()
