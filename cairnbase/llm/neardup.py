@@ -140,8 +140,9 @@ def likely(a: np.ndarray, b: np.ndarray, similarity: float, miss: float = MISS)
 
 
 def signatures_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the shingle set, null if empty) and signature of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
+    """doc_id, n_shingles, node (a hash of the shingle set, null if empty) and signature of every row; of rows without an
+    id also key (the hash of the text) and row (a number of its own)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary()), ("key", pa.int64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -149,18 +150,20 @@ def signatures_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part, rows, seen = batch.slice(i, 1000), [], {}
-                for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
+                for doc_id, key, row, s in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "row")), shingle_sets(part.column("text").to_pylist()), strict=True):
                     if not len(s):
-                        rows.append((doc_id, 0, None, None))
+                        rows.append((doc_id, 0, None, None, key, row))
                         continue
                     node = xxhash.xxh3_64_intdigest(s.tobytes())
                     if node not in seen:
                         seen[node] = signature(s).tobytes()
-                    rows.append((doc_id, len(s), node - (1 << 64) if node >> 63 else node, seen[node]))
+                    rows.append((doc_id, len(s), node - (1 << 64) if node >> 63 else node, seen[node], key, row))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, node long, signature binary")
+    missing = F.col("doc_id").isNull()
+    keyed = docs.select("doc_id", "text", F.when(missing, F.xxhash64("text")).alias("key"), F.when(missing, F.monotonically_increasing_id()).alias("row"))
+    return keyed.mapInArrow(lean(run), "doc_id long, n_shingles long, node long, signature binary, key long, row long")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -194,9 +197,9 @@ def _judge(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
 def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, novel: bool = False) -> DataFrame:
     """a, b, common, na, nb: sizes of the intersection and of both sets, counted in full; with novel, what b has and a lacks."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = stored(classes.join(needed, "node").select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), "neardup-needed")
+    ids = stored(classes.join(needed, "node").select(F.coalesce("rep", "key").alias("_rep"), F.col("node").alias("_node")), "neardup-needed")
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_rep")).select("_node", "text")
+    texts = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("_id"), "text").join(F.broadcast(ids) if few else ids, F.col("_id") == F.col("_rep")).select("_node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -330,33 +333,49 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     return stored(_exact(likely_pairs, docs, classes), "neardup-exact").where(_is_link(percent)).select("a", "b")
 
 
+def _placed(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and of rows without an id key and row."""
+    rows = stored(signatures_of(docs), "neardup-signatures")
+    grouped = rows.where("node is not null").groupBy("node", "n_shingles", "signature").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("row").alias("row"))
+    classes = stored(grouped, "neardup-classes")
+    found = components(find_links(docs, classes, percent))
+    placed = classes.select("node", "rep", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("row").alias("first"))
+    by_node = placed.join(least, "component").select(F.col("node").alias("n"), F.col("component_id").alias("of_class"), "first")
+    out = rows.select("doc_id", "n_shingles", "node", "key", "row").join(by_node, F.col("node") == F.col("n"), "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("of_class"))
+    kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNotNull() | F.col("node").isNull() | (F.col("row") == F.col("first")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "key", "row")
+
+
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     A-Z are lower-cased and words are runs without white space; the set of a document is its distinct 5-word
     shingles, or its whole word sequence if that is shorter. Null, empty and blank texts have an empty set and are
     linked with nothing. component_id is the smallest doc_id reachable over links, kept whether it is the row's own.
-    Rows that repeat a doc_id are one document under each of their texts; a row with a null doc_id takes part in its
-    class, has the class's component_id if any row has an id (else null), and is kept only if none has.
+    Rows that repeat a doc_id are one document under each of their texts; a row with a null doc_id is a document of
+    its own. If all rows of a component have a null doc_id, its component_id is null and one of them is kept.
     """
-    rows = stored(signatures_of(docs), "neardup-signatures")
-    grouped = rows.where("node is not null").groupBy("node", "n_shingles", "signature").agg(F.min("doc_id").alias("rep"))
-    classes = stored(grouped, "neardup-classes")
-    found = components(find_links(docs, classes.where("rep is not null"), percent))
-    placed = classes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = placed.join(least, "component").select(F.col("node").alias("n"), F.col("component_id").alias("of_class"))
-    out = rows.select("doc_id", "n_shingles", "node").join(by_node, F.col("node") == F.col("n"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("of_class"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return _placed(docs, percent).drop("key", "row")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each component; of rows that repeat a kept doc_id all stay.
 
-    The ids to drop are the fewer, so they are what the texts are joined with: broadcast up to BROADCAST_IDS.
+    The ids to drop are the fewer, so they are what the texts are joined with: broadcast up to BROADCAST_IDS. Rows with
+    a null doc_id are told apart by their texts: of equal ones to be kept one stays, but for those with an empty set.
     """
-    dropped = link_documents(docs).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("not any_kept").select(F.col("doc_id").alias("_dropped"))
+    placed = _placed(docs, PERCENT)
+    dropped = placed.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("not any_kept").select(F.col("doc_id").alias("_dropped"))
     dropped = stored(dropped, "neardup-dropped")
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    out = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    nameless = stored(placed.where("doc_id is null"), "neardup-nameless")
+    if not nameless.limit(1).count():
+        return out
+    rest = docs.where("doc_id is null").withColumn("_key", F.xxhash64("text"))
+    stay = nameless.where("kept").select(F.col("key").alias("_stay"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    rest = rest.join(stay, F.col("_key") == F.col("_stay"))
+    one = rest.where("not _empty").dropDuplicates(["_key"])
+    return out.where("doc_id is not null").unionByName(rest.where("_empty").union(one).select(docs.columns))

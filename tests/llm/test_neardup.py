@@ -97,6 +97,19 @@ def test_repeated_and_null_ids(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 5, 9]
 
 
+def test_null_ids_are_compared(spark):
+    a, b, c = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    near = lambda words: " ".join([*words, "more"])
+    texts = [" ".join(a), near(a), near(a), " ".join(b), near(b), " ".join(c), None, "", ""]
+    df = docs(spark, texts, ids=[None, None, None, None, 4, None, None, None, None]).repartition(3)
+    got = N.link_documents(df).collect()
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["component_id"]) == [(56, 4), (57, 4)]
+    assert [r["kept"] for r in got if r["component_id"]] == [r["doc_id"] == 4 for r in got if r["component_id"]]
+    assert sum(r["kept"] for r in got) == 1 + 1 + 1 + 3  # a's group, b's, c, and each empty text
+    kept = [r["text"] for r in N.drop_near_duplicates(df).collect()]
+    assert len(kept) == 6 and {texts[4], texts[5], None, ""} < set(kept) and len({*texts[:2]} & set(kept)) == 1
+
+
 def test_empty(spark):
     assert N.link_documents(docs(spark, [])).count() == 0
 
