@@ -4,8 +4,8 @@ A model predicts the letters of each word from the letters before it in the word
 the space before the word. N-grams are kept as sorted 64-bit hashes, one array for each order with a column of
 discounted probabilities and back-off weights for each language, and looked up by binary search. Since no context
 crosses a word, a word has one score, which a worker computes once. The language with the lowest cross-entropy for
-each character is chosen; texts whose best cross-entropy is above a limit calibrated on training texts that the
-model has not counted are rejected.
+each character is chosen; texts whose best cross-entropy is above that language's limit, calibrated on training texts
+that the model has not counted, are rejected.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ TEXTS = 2500
 CALIBRATE = 8
 #: Texts of fewer characters are too short to be rejected.
 ENOUGH = 40
-#: A text is rejected if its cross-entropy is above the calibration texts' largest by this factor.
+#: A text is rejected if its cross-entropy is above this quantile of its language's calibration texts by the factor.
+#: What the quantile leaves above it may be mislabelled or garbled.
+QUANTILE = 0.95
 SLACK = 1.25
 #: Word scores that a worker keeps.
 CACHE = 300_000
@@ -66,7 +68,7 @@ class Model:
 
     def __init__(self, langs: list[str], keys: list, alphas: list, lambdas: list, start: np.ndarray, size: int):
         self.langs, self.keys, self.alphas, self.lambdas, self.start, self.size = langs, keys, alphas, lambdas, start, size
-        self.limit = float("inf")
+        self.limits = [float("inf")] * len(langs)
 
     @classmethod
     def fit(cls, counts: dict[str, Counter], order: int = ORDER) -> Model:
@@ -201,7 +203,7 @@ def choice(model: Model, bits: np.ndarray, n: int) -> tuple[str, float, float |
     rate = bits / n
     best = int(rate.argmin())
     p = 1 / np.exp2((rate[best] - rate) * min(n, 40)).sum()
-    return model.langs[best], float(p), float(rate[best]), n >= ENOUGH and bool(rate[best] > model.limit)
+    return model.langs[best], float(p), float(rate[best]), n >= ENOUGH and bool(rate[best] > model.limits[best])
 
 
 def train(docs: DataFrame, texts: int = TEXTS, order: int = ORDER) -> Model:
@@ -239,9 +241,11 @@ def train(docs: DataFrame, texts: int = TEXTS, order: int = ORDER) -> Model:
     del counts
     trim()
     if model.langs:
-        held = identify(sample.where(F.col("calibrate")).select(F.lit(0).cast("long").alias("doc_id"), "text"), model).where(F.col("n_chars") >= ENOUGH)
-        worst = held.agg(F.max("bits")).collect()[0][0]
-        model.limit = worst * SLACK if worst is not None else float("inf")
+        label = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang"))
+        held = identify(sample.where(F.col("calibrate")).select(label.cast("long").alias("doc_id"), "text"), model).where(F.col("n_chars") >= ENOUGH)
+        own = held.where(F.get(F.array(*map(F.lit, model.langs)), F.col("doc_id").cast("int") - 1) == F.col("lang_pred"))
+        high = {r["lang_pred"]: r["high"] * SLACK for r in own.groupBy("lang_pred").agg(F.percentile("bits", F.lit(QUANTILE)).alias("high")).collect()}
+        model.limits = [high.get(lang, max(high.values(), default=float("inf"))) for lang in model.langs]
     return model
 
 
@@ -250,7 +254,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is the language with the fewest bits a character (ties: the first by name), or ``und`` for a text that
     is null, empty or without a letter, or where the model has no language. score is the posterior of the choice
-    over at most 40 characters at equal priors, 0 for ``und``. rejected: ``und``, or bits above the model's limit in a text
+    over at most 40 characters at equal priors, 0 for ``und``. rejected: ``und``, or bits above the language's limit in a text
     of ENOUGH characters.
     """
     path = model.written(docs.sparkSession)

@@ -69,6 +69,16 @@ def test_odd_texts(spark):
     assert got[len(rows)]["score"] == 0
 
 
+def test_garbled_training_texts_do_not_lift_the_limit(spark):
+    rng = np.random.default_rng(1)
+    noise = lambda: " ".join("".join(rng.choice(list("qxjzkvwpyfgb"), 7)) for _ in range(12))
+    rows = texts(400) + [("en", noise()) for _ in range(12)]  # so many that some calibrate
+    model = L.train(docs(spark, [t for _, t in rows], langs=[lang for lang, _ in rows]))
+    probes = [noise() for _ in range(20)] + [t for _, t in texts(20, seed=5)]
+    got = {r["doc_id"]: r["rejected"] for r in L.identify(docs(spark, probes), model).collect()}
+    assert [got[i] for i in range(40 + 20)] == [True] * 20 + [False] * 40
+
+
 def test_no_training_data(spark):
     df = docs(spark, ["the thing"], langs=[None])
     assert L.identify(df, L.train(df)).head()["lang_pred"] == "und"
