@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets form a class; from then on only classes are compared. Classes that share a band of
 their signatures meet in a bucket. A bucket never emits all its pairs: its members are compared with one leader, the
-member with the most company over all its bands. Those linked to the leader need no further links among themselves.
-For the others the sizes of their intersections with the leader bound what they can share with any third set, so that
-only pairs that the bound allows, or that share enough shingles that the leader lacks (found by an inverted index over
-the rarest of these), are compared. Members too far from the leader go on with another one; what is left after some
-rounds is compared in full.
+member with the most company over all its bands, and what is linked becomes one component. Only members of other
+components need further links. The sizes of their intersections with the leader, which is first given what most members
+have, bound what they can share with any third set; those that the bound allows, and those that share enough rare
+shingles that the leader lacks, form lists. Of a long list a few members are compared with all others, components are
+contracted, and what is left is compared. Members too far from the leader go on with another one; what is left after
+some rounds is settled as one list.
 
 Each candidate pair is first judged on its signatures, a batch of hashes at a time: it is dropped once the posterior
 probability that it is similar enough falls below the chosen miss probability. Survivors are compared exactly.
@@ -35,8 +36,12 @@ BATCH = 16
 MISS = 1e-6
 #: Similarity down to which members are compared exactly with their leader.
 RATED = 0.25
-#: Rounds with a leader before the rest of a bucket is compared in full.
+#: Rounds with a leader before the rest of a bucket is settled as one list.
 LEADERS = 2
+#: A list of at most FEW members is compared in full at once; of a longer one SEATS members with all others, ROUNDS times.
+FEW, SEATS, ROUNDS = 16, 8, 1
+#: Pairs of one set that one task joins; a set with more is copied to further tasks.
+HOT = 1000
 #: So many document ids, 8 bytes each, are broadcast to fetch their texts; beyond, the join is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -180,10 +185,23 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(lean(run), "band long, node long")
 
 
+def _with_both(pairs: DataFrame, table: DataFrame, column: str, name_a: str, name_b: str) -> DataFrame:
+    """Pairs (a, b) with a column of both nodes. Nodes of many pairs are dealt over tasks by their partners."""
+    hot = stored(pairs.select(F.explode(F.array("a", "b")).alias("hot")).groupBy("hot").agg(F.ceil(F.count("*") / HOT).cast("int").alias("tasks")).where("tasks > 1"), "neardup-hot")
+    if not hot.limit(1).count():
+        return pairs.join(table.select(F.col("node").alias("a"), F.col(column).alias(name_a)), "a").join(table.select(F.col("node").alias("b"), F.col(column).alias(name_b)), "b")
+    copies = table.join(hot, F.col("node") == F.col("hot"), "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)))
+    out = pairs
+    for end, other, name in (("a", "b", name_a), ("b", "a", name_b)):
+        task = F.pmod(F.xxhash64(other), F.coalesce("tasks", F.lit(1))).cast("int")
+        out = out.join(hot, F.col(end) == F.col("hot"), "left").withColumn("task", task).drop("hot", "tasks")
+        out = out.join(copies.select(F.col("node").alias(end), "task", F.col(column).alias(name)), [end, "task"]).drop("task")
+    return out
+
+
 def _judge(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that their signatures do not rule out."""
-    s = classes.select("node", "signature")
-    both = pairs.join(s.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
+    both = _with_both(pairs, classes.select("node", "signature"), "signature", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +233,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, novel: bool =
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("node", pa.int64()), ("shingles", pa.binary())]))
 
     full = stored(texts.mapInArrow(lean(sets), "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
-    both = pairs.join(full.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(full.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
+    both = _with_both(pairs, full, "shingles", "xa", "xb")
     fields = [("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())]
     schema = pa.schema([*fields, ("novel", pa.list_(pa.int64()))] if novel else fields)
 
@@ -248,82 +266,126 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("n").alias("c"))
 
 
+def _contract(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after some more links (a, b)."""
+    return components(links if labels is None else links.union(labels.where("node <> component").select("node", "component")))
+
+
 def _is_link(percent: int):
     return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
 
 
-def _beside_leader(near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one leader, at least one of them not linked to it, that can be linked.
+def _beside_leader(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Lists of members of one leader that can be linked beside it, as _settle() takes them.
 
-    near: lead, node, c (shared with the leader), n (size), linked, novel (what the leader lacks). Two members share
-    at most min(c, c') and what both have beyond the leader; a link needs (100 + percent) * shared >= percent * (n + n').
+    near: lead, node, c (shared with the leader), n (size), novel (what the leader lacks). Two members share at most
+    min(c, c') and what both have beyond the leader; a link needs (100 + percent) * shared >= percent * (n + n').
+    What most members have and the leader lacks counts as if the leader had it, so that the leader stands for the
+    text that all were copied from, whatever its own edits. What is in the leader's component already needs no links
+    within it.
     """
     p, q = percent, 100 + percent
-    border = near.where(~F.col("linked"))
-    near = near.join(border.select("lead").distinct(), "lead", "left_semi")
-    i = near.select("lead", F.col("node").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"))
-    # without shingles beyond the leader: a partner must be small enough for c; sizes are few, so they are joined as keys
+    of = labels.select(F.col("node").alias("lead"), F.col("component").alias("of_lead"))
+    placed = near.join(labels, "node", "left").join(of, "lead", "left").withColumn("seat", F.coalesce("component", "node") != F.coalesce("of_lead", "lead")).drop("component", "of_lead")
+    placed = stored(placed.join(placed.where("seat").select("lead").distinct(), "lead", "left_semi"), "neardup-border")
+    groups = placed.groupBy("lead").agg(F.count("*").alias("m"), F.min("n").alias("n_min"))
+    often = placed.select("lead", "seat", F.explode("novel").alias("s")).groupBy("lead", "s").agg(F.count("*").alias("f"), F.max("seat").alias("sought")).where("f > 1")
+    often = stored(often.join(groups, "lead").select("lead", "s", "f", "sought", (F.col("f") * 2 > F.col("m")).alias("common")), "neardup-often")
+    common = often.where("common").groupBy("lead").agg(F.collect_list("s").alias("common"))
+    novel = F.array_except("novel", F.coalesce("common", F.array().cast("array<long>")))
+    placed = placed.join(common, "lead", "left").withColumn("beyond", novel).withColumn("c", F.col("n") - F.size("beyond"))
+    # without shingles beyond the leader: both must be small enough for what they share with it
     slack = 1e-9  # quotients are doubles
     most, least = F.floor(F.col("c") * q / p + slack) - F.col("n"), F.ceil(F.col("n") * p / 100 - slack)
-    j = border.where(most >= least).select("lead", F.col("node").alias("j"), F.col("n").alias("nj"), F.explode(F.sequence(least, most)).alias("ni"))
-    small = j.join(i, ["lead", "ni"]).where((F.col("i") != F.col("j")) & (F.col("ci") * q >= (F.col("ni") + F.col("nj")) * p)).select("i", "j")
+    small = placed.where(most >= least).withColumn("s", F.lit(0).cast("long")).withColumn("v", F.lit(0).cast("long"))
     # with them: the pair shares one of the rarest of them, so many that the others alone would be too few
-    smallest = near.groupBy("lead").agg(F.min("n").alias("n_min"))
     due = F.greatest(F.lit(1), F.ceil((F.col("n") + F.greatest(F.col("n_min"), least)) * p / q - slack) - F.col("c"))
-    kept = near.join(smallest, "lead").withColumn("keep", F.size("novel") - due + 1).where("keep > 0")
-    each = kept.select("lead", "node", "linked", "keep", F.explode("novel").alias("s"))
-    often = each.groupBy("lead", "s").agg(F.count("*").alias("f")).where("f > 1")
+    kept = placed.join(groups.select("lead", "n_min"), "lead").withColumn("v", F.size("beyond").cast("long")).withColumn("keep", F.col("v") - due + 1).where("keep > 0")
+    each = kept.select("lead", "node", "seat", "keep", "c", "n", "v", F.explode("beyond").alias("s"))
     ranked = each.join(often, ["lead", "s"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    rarest = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lead", "node").orderBy("f", "s"))).where("r <= keep and f > 1")
-    rarest = stored(rarest.select("lead", "s", "node", "linked"), "neardup-rarest")
-    share = rarest.where(~F.col("linked")).select("lead", "s", F.col("node").alias("j")).join(rarest.select("lead", "s", F.col("node").alias("i")), ["lead", "s"]).where("i <> j").select("i", "j")
-    return small.union(share).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    rarest = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lead", "node").orderBy("f", "s"))).where("r <= keep and sought")
+    columns = ["lead", "s", "node", "seat", "c", "n", "v"]
+    return small.select(columns).union(rarest.select(columns))
 
 
 def _across_leaders(members: DataFrame, bit: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket, one near to this round's leader alone, the other to earlier ones alone.
+    """Lists of members of one bucket, some near to this round's leader alone, the others to earlier ones alone.
 
     A link between them takes that either is on the border: so unlike all leaders that it was near to that the other
     can be far from them.
     """
-    border = members.where("border and near > 0")
-    i = border.where(F.col("near") == bit).select("band", F.col("node").alias("i"))
-    j = border.where(F.col("near") < bit).select("band", F.col("node").alias("j"))
-    return i.join(j, "band").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    return members.where("border and near > 0").select(F.col("band").alias("lead"), "node", (F.col("near") == bit).alias("seat"))
+
 
+def _settle(lists: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Labels after all links between members of one list, of which at least one has a seat.
 
-def find_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, leaders: int = LEADERS) -> DataFrame:
-    """Links (a, b) between classes: enough of them to connect all that are linked, none that is not exact."""
+    lists: lead, s (both name the list), node, seat, n (size); at most c is shared by way of the leader, v beyond it.
+    Of a long list a few seats are compared with all other members; then what has become one component is no longer
+    compared, and the next few follow. What is left after ROUNDS of that, as a rule nothing, is compared in full.
+    """
+    p, q = percent, 100 + percent
+    for r in range(ROUNDS + 1):
+        placed = lists.select("lead", "s", "node", "seat", "c", "n", "v").join(labels, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+        size = placed.groupBy("lead", "s").agg(F.count("*").alias("f"), F.min("of").alias("low"), F.max("of").alias("high"), F.max("seat").alias("sought")).where("low < high and sought")
+        placed = stored(placed.join(size.select("lead", "s", "f"), ["lead", "s"]), "neardup-lists")
+        if not placed.limit(1).count():
+            break
+        seats = placed.where("seat")
+        if r < ROUNDS:
+            order = Window.partitionBy("lead", "s").orderBy("node")
+            first = seats.where(F.col("f") > FEW).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SEATS).drop("r")
+            seats = stored(seats.where(F.col("f") <= FEW).union(first), "neardup-seats")
+        x = seats.select("lead", "s", F.col("node").alias("i"), F.col("of").alias("oi"), F.col("n").alias("ni"), F.col("c").alias("ci"), F.col("v").alias("vi"))
+        y = placed.select("lead", "s", F.col("node").alias("j"), F.col("of").alias("oj"), F.col("n").alias("nj"), F.col("c").alias("cj"), F.col("v").alias("vj"))
+        shared = F.least("ci", "cj") + F.least("vi", "vj")
+        can = (F.col("oi") != F.col("oj")) & (shared * q >= (F.col("ni") + F.col("nj")) * p)
+        pairs = x.join(y, ["lead", "s"]).where(can).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+        found = _linked(stored(pairs, "neardup-beside"), docs, classes, percent)
+        if found.limit(1).count():
+            labels = _contract(labels, found)
+        if r < ROUNDS:
+            lists = placed.where(F.col("f") > FEW).join(seats.select("lead", "s", "node"), ["lead", "s", "node"], "left_anti")
+    return labels
+
+
+def _bucket_lists(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Lists of buckets (lead, node, seat): nothing is known there but the sizes of the sets."""
+    n = classes.select("node", F.col("n_shingles").alias("n"))
+    return members.join(n, "node").select("lead", F.lit(0).cast("long").alias("s"), "node", "seat", F.col("n").alias("c"), "n", F.lit(0).cast("long").alias("v"))
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, leaders: int = LEADERS) -> DataFrame:
+    """node, component (its least node) of all classes that are linked to others."""
     bands = _bands(classes)
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     active = stored(bands.join(sizes, "band"), "neardup-members")
     company = active.groupBy("node").agg(F.sum("n").alias("company"))
     active = active.join(company, "node").select("band", "node", "company", F.lit(0).alias("near"), F.lit(True).alias("border"))
-    fresh, links = F.col("near") == 0, None
+    fresh, labels = F.col("near") == 0, None
     for k in range(leaders):
         # near: the rounds whose leader of the bucket a member was near to, as bits; fresh members have none, and it takes one of them to lead
         lead = active.groupBy("band").agg(F.max_by("node", F.when(fresh, F.struct("company", -F.col("node")))).alias("lead"), F.count("*").alias("n")).where("n > 1")
         members = stored(active.join(lead.select("band", "lead"), "band").where("node <> lead"), "neardup-round")
         if not members.limit(1).count():
-            empty = members.select(F.col("lead").alias("a"), F.col("node").alias("b"))
-            return links if links is not None else empty
+            break
         stars = members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         near = stored(_exact(stored(_judge(stars, classes, RATED), "neardup-likely"), docs, classes, novel=True), "neardup-near")
-        found = near.where(_is_link(percent)).select("a", "b")
-        links = found if links is None else links.union(found)
+        labels = _contract(labels, near.where(_is_link(percent)).select("a", "b"))
         rated = near.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("common").alias("c"), F.col("nb").alias("n"), _is_link(percent).alias("linked"), "novel", (F.col("common") < (F.col("na") + F.col("nb") - F.col("common")) * (RATED + 1 - percent / 100)).alias("loose"))
         placed = members.join(rated.select("lead", "node", "linked", "loose"), ["lead", "node"], "left").where("linked is null or not linked")
         now = F.col("near") + F.when(F.col("linked").isNull(), 0).otherwise(1 << k)
         rest = stored(placed.select("band", "node", "company", now.alias("near"), (F.col("border") & F.coalesce("loose", F.lit(True))).alias("border")), "neardup-rest")
-        pairs = _beside_leader(rated.drop("loose"), percent)
+        lists = _beside_leader(rated.select("lead", "node", "c", "n", "novel"), labels, percent)
         if k:
-            pairs = pairs.union(_across_leaders(rest, 1 << k)).distinct()
-        links = links.union(_linked(stored(pairs, "neardup-beside"), docs, classes, percent))
+            lists = lists.union(_bucket_lists(_across_leaders(rest, 1 << k), classes))
+        labels = _settle(stored(lists, "neardup-lists"), labels, docs, classes, percent)
         # a bucket goes on as long as a member is too far from its leader to be judged by it
         active = rest.join(rest.where(fresh).select("band").distinct(), "band", "left_semi")
-    left = active.where(fresh).select("band", F.col("node").alias("i")).join(active.select("band", F.col("node").alias("j")), "band").where("i <> j")
-    left = stored(left.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "neardup-left")
-    return links.union(_linked(left, docs, classes, percent))
+    if labels is None:
+        return components(active.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    left = active.select(F.col("band").alias("lead"), "node", fresh.alias("seat"))
+    return _settle(_bucket_lists(left, classes), labels, docs, classes, percent)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +400,7 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     rows = stored(signatures_of(docs), "neardup-signatures")
     grouped = rows.where("node is not null").groupBy("node", "n_shingles", "signature").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("row").alias("row"))
     classes = stored(grouped, "neardup-classes")
-    found = components(find_links(docs, classes, percent))
+    found = link_classes(docs, classes, percent)
     placed = classes.select("node", "rep", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("row").alias("first"))
     by_node = placed.join(least, "component").select(F.col("node").alias("n"), F.col("component_id").alias("of_class"), "first")

@@ -76,6 +76,40 @@ def test_one_large_group_whose_members_are_unlike(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def excerpts(n):
+    """Parts of one text: most are linked by way of others only."""
+    rng = np.random.default_rng(5)
+    size = rng.integers(110, 150, n)
+    return [" ".join(f"b{i}" for i in range(s, s + k)) for k, s in zip(size, rng.integers(0, 200 - size + 1), strict=True)]
+
+
+def edited(n):
+    """Copies of one text with edits of their own, about a third of them too many for any link."""
+    rng = np.random.default_rng(6)
+    copies = []
+    for k in range(n):
+        words = [f"b{i}" for i in range(150)]
+        for i in np.flatnonzero(rng.random(150) < rng.uniform(0, 0.09)):
+            words[i] = f"x{k}_{i}" if i % 3 else ""
+        copies.append(" ".join(words))
+    return copies
+
+
+@pytest.mark.parametrize("kind", [excerpts, edited])
+def test_candidates_grow_in_proportion(spark, monkeypatch, kind):
+    """Twice the copies of one text: about twice the candidate pairs, and the components of all pairs."""
+    judged, judge = [], N._judge
+    monkeypatch.setattr(N, "_judge", lambda pairs, *rest: (judged.append(pairs.count()), judge(pairs, *rest))[1])
+    made = []
+    for n in (150, 300):
+        judged.clear()
+        texts = kind(n)
+        got = {r["doc_id"]: r["component_id"] for r in N.link_documents(docs(spark, texts)).collect()}
+        assert [got[i] for i in range(n)] == brute(texts, list(range(n)))[1]
+        made.append(sum(judged))
+    assert made[1] < 2.7 * made[0], made
+
+
 def test_pair_without_a_common_leader(spark, monkeypatch):
     """Two linked texts in one bucket, each near to the leader that the other is far from."""
     common, x, y = ([f"{k}{i}" for i in range(n)] for k, n in (("c", 90), ("x", 14), ("y", 14)))
