@@ -2,8 +2,9 @@
 
 A page is parsed into a tree. Each node has a density, its characters for each tag, lowered where much of its text
 is in links. The node with the largest sum of its children's densities is the heart of the page; the smallest
-density on the path from there to the body is the threshold. The main text is the outermost article or main element
-on that path; in a page without one it is the body, without subtrees of links below the threshold.
+density on the path from there to the body is the threshold. The main text is the heart, with what lies beside the
+path to it and reaches the threshold without being mostly links, and the headings before it. Subtrees of links below the
+threshold go. If the chosen node lies in an article or main element, that element is the main text as a whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select button option".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg select option".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -38,22 +39,22 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that hold parts of a page.
 GROUPS = frozenset("address blockquote center details div fieldset figure header section".split())
 #: Elements that are never main text.
-FURNITURE = frozenset("nav footer aside form menu dialog script style noscript template iframe object svg math textarea select button title head".split())
-#: Parts of class names and ids that name furniture.
+FURNITURE = frozenset("nav footer aside form menu dialog script style noscript template iframe object svg textarea select title head".split())
+#: Class names and ids that name furniture, as whole names.
 MARKS = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar navigation nav breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices notification alert popup modal newsletter subscribe subscription comment comments disqus respond reply replies share sharing social related recommended widget toolbar pagination pager login signup".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-_WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "drop", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "drop", "chars", "link_chars", "tags", "link_tags", "density", "total", "block")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False):
         self.name, self.parent, self.children, self.drop = name, parent, [], drop
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = name in BLOCK
 
 
 def _furniture(name: str, rest: str, stack: list[Node]) -> bool:
@@ -65,22 +66,31 @@ def _furniture(name: str, rest: str, stack: list[Node]) -> bool:
         return False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and not MARKS.isdisjoint(_WORDS.findall(value)):
+        if key in ("class", "id") and not MARKS.isdisjoint(value.split()):
             return True
         if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", rest)) or "display:none" in rest.replace(" ", "").lower()
 
 
+def _only_in_header(stack: list[Node]) -> bool:
+    names = [n.name for n in stack]
+    return "header" in names and HEADINGS.isdisjoint(names)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page: children are nodes and strings. Furniture keeps its place but no contents."""
+    """The tree of a page: children are nodes and strings. Furniture keeps its place but no contents.
+
+    A header in an article keeps its headings only.
+    """
     root = Node("html", None)
     stack, at, size = [root], 0, len(page)
+    headers = False  # any header in an article so far
     skip = 0  # open elements inside furniture, that included
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
-        if text and not skip:
+        if text and not skip and not (headers and _only_in_header(stack)):
             stack[-1].children.append(entities.unescape(text))
         if not m:
             break
@@ -114,6 +124,7 @@ def parse(page: str) -> Node:
             skip = skip and next((len(stack) - i for i, n in enumerate(stack) if n.drop), 0)
         node = Node(name, stack[-1], skip > 0 or _furniture(name, rest, stack))
         stack[-1].children.append(node)
+        headers = headers or name == "header"
         if name in VOID:
             continue
         if name in RAW:
@@ -161,38 +172,75 @@ def composite_density(chars: int, link_chars: int, tags: int, link_tags: int, al
     return chars / tags * max(0.0, factor)
 
 
-def main_node(root: Node) -> Node | None:
-    """The subtree that holds the main text; in a page without article or main, its subtrees of links get dropped."""
+def densest(root: Node) -> tuple[list[Node], float, list[Node]]:
+    """The path from the heart, the node with the largest sum of its children's densities, up to the body; the threshold,
+    the least density on that path; and all nodes that are kept, children last. No path if there is no text."""
     order, chars, links = _measure(root)
     body = next((n for n in order if n.name == "body"), root)
     for node in order:
         node.density = composite_density(node.chars, node.link_chars, node.tags, node.link_tags, chars, links)
-    for node in order:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop) or (node.density if any(isinstance(c, str) and c.strip() for c in node.children) else 0.0)
-    heart = max(order, key=lambda n: n.total, default=None)  # ties: the outermost, which comes first
-    if heart is None or not heart.chars:
-        return body if body.chars else None
+    for node in reversed(order):
+        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop and c.block)
+        node.block = node.block or node.total > 0
+        if not node.total and node.block:  # a block without blocks in it counts as a whole, whatever marks its words
+            node.total = node.density
+    above, node = set(), body.parent
+    while node is not None:
+        above.add(node)
+        node = node.parent
+    heart = max((n for n in order if n not in above), key=lambda n: n.total)  # ties: the outermost, which comes first
+    if not heart.chars:
+        return ([body] if body.chars else []), 0.0, order
     path, node = [], heart
     while node is not None:
         path.append(node)
         if node is body:
             break
         node = node.parent
+    return path, min(n.density for n in path), order
+
+
+def select_node(path: list[Node], threshold: float) -> Node:
+    """The highest node of the path (heart first) that has a dense subtree beside it, else the heart; what lies beside
+    the path there and is neither dense nor a heading before it is dropped."""
+    beside = {n: [c for c in n.children if isinstance(c, Node) and not c.drop and c is not below and c.chars] for below, n in zip(path, path[1:], strict=False)}
+    dense = {n: [c for c in found if c.density >= threshold and 2 * c.link_chars <= c.chars and c.block] for n, found in beside.items()}
+    top = max((i for i, n in enumerate(path) if dense.get(n)), default=0)
+    # headings before the heart belong to it, wherever the path has them
+    titled = [i for i, n in enumerate(path) if i and any(c.name in HEADINGS and 2 * c.link_chars <= c.chars for c in _before(n, path[i - 1]))]
+    top = max([top, *titled])
+    for i in range(1, top + 1):
+        n, before = path[i], _before(path[i], path[i - 1])
+        for c in beside[n]:
+            c.drop = not (c in dense[n] or c.name in HEADINGS and c in before or not c.block)
+    return path[top]
+
+
+def _before(node: Node, child: Node) -> list[Node]:
+    return [c for c in node.children[: node.children.index(child)] if isinstance(c, Node) and not c.drop]
+
+
+def main_node(root: Node) -> Node | None:
+    """The subtree that holds the main text, with what does not belong to it marked as dropped."""
+    path, threshold, order = densest(root)
+    if not path:
+        return None
     whole = [n for n in path if n.name in ("article", "main")]
     if whole:
         return whole[-1]
-    _thin_out(path, order)
-    return path[-1]
+    chosen = select_node(path, threshold)
+    _thin_out(path[: path.index(chosen) + 1], order, threshold)
+    return chosen
 
 
-def _thin_out(path: list[Node], order: list[Node]) -> None:
+def _thin_out(path: list[Node], order: list[Node], threshold: float) -> None:
     """Drop what is below the threshold of the path (heart first) and has most of its text in links.
 
     Few characters for each tag alone do not count: headings, short paragraphs and tables have few too. Lists and
     tables are judged as a whole, a group of parts only if each is a heading or goes as well. A paragraph's only link
     is text, and a heart of links keeps them. order: all nodes, children last.
     """
-    threshold, on_path, heart = min(n.density for n in path), set(path), path[0]
+    on_path, heart = set(path), path[0]
     thin: set[Node] = set()
     for n in reversed(order):
         if n.density < threshold and 2 * n.link_chars > n.chars and n.name in BLOCK and n.name not in HEADINGS and n not in on_path and n.link_tags > (n.name == "p"):
