@@ -46,6 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         found = tempfile.mkdtemp(prefix="cairnbase-")
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found else "file://" + found.removeprefix("file:")
@@ -77,6 +80,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """Column names of our own beside those of df: each name with as many underscores before it as it takes."""
+    used, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        new = f"_{name}"
+        while new.lower() in used:
+            new = f"_{new}"
+        used.add(new.lower())
+        out[name] = new
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,22 +2,24 @@
 
 Each source gets a target by weighted water filling under a cap. A source takes all its documents
 ``passes`` times, and what is left of the target is a subset-sum problem over the exact lengths of its
-documents: a proportional part of each length, then the longest that fit, then a bounded-knapsack
-dynamic programme for the last words. Documents are then drawn by a seeded hash, so many of each length.
+documents: a proportional part of each length, then a bounded-knapsack dynamic programme over a few
+documents of each length that are given back or added, as many as it takes to come as near as can be.
+Documents are then drawn by a seeded hash, so many of each length.
 
 Only histograms by (source, length) meet in one task; documents themselves are never grouped by source.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import fresh_names, stored, word_count
 
-#: Budgets up to this many words are fitted by dynamic programming.
-DP_WORDS = 8192
 #: A group of equally long documents is ranked in so many hash slices, of which only one needs a sort.
 SLICES = 64
 
@@ -25,47 +27,66 @@ SLICES = 64
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many to take of each length, at most counts[i] of lengths[i], for the largest sum within budget.
 
-    Bounded knapsack over reachable sums, held as the bits of an integer; counts are split into powers of two.
+    Bounded knapsack over reachable sums; counts are split into powers of two. Of each sum the first part that
+    reached it is kept, 5 bytes for each unit of the budget.
     """
-    items, reach = [], [1]
-    full = (1 << (budget + 1)) - 1
+    parts, sums, by = [], np.zeros(budget + 1, bool), np.zeros(budget + 1, np.int32)
+    sums[0] = True
     for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        count = min(count, budget // length) if length > 0 else 0
-        part = 1
-        while count > 0 and not reach[-1] >> budget & 1:
+        count, part = min(count, budget // length) if length > 0 else 0, 1
+        while count > 0 and not sums[budget]:
             part = min(part, count)
             count -= part
-            items.append((i, part, length * part))
-            reach.append((reach[-1] | reach[-1] << (length * part)) & full)
+            weight = length * part
+            if weight <= budget:
+                new = sums[: budget + 1 - weight] & ~sums[weight:]
+                by[weight:][new] = len(parts)
+                sums[weight:] |= new
+                parts.append((i, part, weight))
             part *= 2
-    taken, at = [0] * len(lengths), reach[-1].bit_length() - 1
-    for (i, part, weight), before in zip(reversed(items), reversed(reach[:-1]), strict=True):
-        if not before >> at & 1:
-            taken[i] += part
-            at -= weight
+    taken, at = [0] * len(lengths), int(np.flatnonzero(sums)[-1])
+    while at:
+        i, part, weight = parts[by[at]]
+        taken[i] += part
+        at -= weight
     return taken
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_WORDS) -> list[int]:
-    """How many documents of each length to take so that their words come as near to budget, from below, as can be."""
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    budget = min(budget, total)
+def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each length to take so that their words come as near to budget, from below, as can be.
+
+    A proportional part of each length, then the longest that fit; then a few documents of some lengths are given back
+    and the programme decides about them and as many more. The rounds take in more lengths and more documents until
+    the budget is met, or all lengths and twice as many documents as the longest has words are in, by which the best
+    is found: of more, some that are given back would have the same sum as some that are added.
+    """
+    unit = math.gcd(*[n for n, c in zip(lengths, counts, strict=True) if n > 0 and c > 0]) or 1
+    steps = [n // unit for n in lengths]
+    total = sum(n * c for n, c in zip(steps, counts, strict=True))
+    budget = min(budget // unit, total)
     if budget <= 0:
         return [0] * len(lengths)
     taken = [c * budget // total for c in counts]
-    left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:  # the longest first, until the rest is small enough for the exact programme
-        if left <= dp_words:
+    left = budget - sum(n * t for n, t in zip(steps, taken, strict=True))
+    order = [i for i in sorted(range(len(steps)), key=lambda i: steps[i]) if steps[i] > 0 and counts[i] > 0]
+    for i in reversed(order):
+        more = min(counts[i] - taken[i], left // steps[i])
+        taken[i] += more
+        left -= more * steps[i]
+    enough = min(2 * steps[order[-1]], max(counts[i] for i in order))
+    some, each = 8, 1
+    while left:
+        used = order if some >= len(order) else [order[j * (len(order) - 1) // (some - 1)] for j in range(some)]
+        back = [min(taken[i], each) for i in used]
+        room = left + sum(b * steps[i] for b, i in zip(back, used, strict=True))
+        again = knapsack([steps[i] for i in used], [b + min(counts[i] - taken[i], each) for b, i in zip(back, used, strict=True)], room)
+        for i, b, n in zip(used, back, again, strict=True):
+            taken[i] += n - b
+            room -= n * steps[i]
+        left = room
+        if some >= len(order) and each >= enough:
             break
-        if lengths[i] > 0:
-            more = min(counts[i] - taken[i], left // lengths[i])
-            taken[i] += more
-            left -= more * lengths[i]
-    small = [i for i in order if 0 < lengths[i] <= left and counts[i] > taken[i]]
-    if left > 0 and small:
-        for i, more in zip(small, knapsack([lengths[i] for i in small], [counts[i] - taken[i] for i in small], left), strict=True):
-            taken[i] += more
+        some, each = some * 2, each * 2
     return taken
 
 
@@ -142,14 +163,16 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id at equal size share their copies as evenly as can be.
     """
-    names = docs.columns
+    names, at = docs.columns, fresh_names(docs, "id", "s", "c", "rows", "size", "n", "i")
     grouped = mixed.groupBy("doc_id", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("rows")).where("c > 0")
-    per_doc = stored(grouped.withColumnsRenamed({"doc_id": "__id", "size": "__s", "c": "__c", "rows": "__rows"}), "mixing-copies")
-    keyed = docs.withColumn("__size", word_count(F.col("text")))
-    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")))
-    out = joined.where("__rows = 1").withColumn("__n", F.col("__c"))
-    if per_doc.where("__rows > 1").limit(1).count():
-        place = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("text"))
-        shared = joined.where("__rows > 1").withColumn("__n", F.floor(F.col("__c") / F.col("__rows")) + (place <= F.col("__c") % F.col("__rows")).cast("long"))
+    per_doc = stored(grouped.withColumnsRenamed({"doc_id": at["id"], "size": at["s"], "c": at["c"], "rows": at["rows"]}), "mixing-copies")
+    keyed = docs.withColumn(at["size"], word_count(F.col("text")))
+    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col(at["id"])) & (F.col(at["size"]) == F.col(at["s"])))
+    copies, rows = F.col(at["c"]), F.col(at["rows"])
+    out = joined.where(rows == 1).withColumn(at["n"], copies)
+    if per_doc.where(rows > 1).limit(1).count():
+        # rows of one id, size and text are interchangeable, so that the order within a text does not matter
+        place = F.row_number().over(Window.partitionBy("doc_id", at["size"]).orderBy("text"))
+        shared = joined.where(rows > 1).withColumn(at["n"], F.floor(copies / rows) + (place <= copies % rows).cast("long"))
         out = out.unionByName(shared)
-    return out.where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+    return out.where(F.col(at["n"]) > 0).withColumn(at["i"], F.explode(F.sequence(F.lit(1), F.col(at["n"])))).select(*names)

@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -17,14 +18,37 @@ def test_knapsack_is_best(items, budget):
     assert all(t <= n for t, n in zip(taken, counts, strict=True)) and sum(a * b for a, b in zip(lengths, taken, strict=True)) == best
 
 
+def reachable(lengths, counts, budget):
+    """The largest sum within budget, from the set of all sums."""
+    sums = 1
+    for n, c in zip(lengths, counts, strict=True):
+        for _ in range(c if n else 0):
+            sums |= sums << n
+    sums &= (1 << (budget + 1)) - 1
+    return sums.bit_length() - 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 500), st.integers(1, 50)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.integers(0, 100_000))
-def test_fit_stays_within(items, budget):
+def test_fit_is_best(items, budget):
     lengths, counts = map(list, zip(*items, strict=True))
-    taken = M.fit_budget(lengths, counts, budget, dp_words=256)
-    got = sum(a * b for a, b in zip(lengths, taken, strict=True))
-    assert all(0 <= t <= n for t, n in zip(taken, counts, strict=True)) and got <= budget
-    assert got >= min(budget, sum(a * b for a, b in zip(lengths, counts, strict=True))) - max(lengths)
+    taken = M.fit_budget(lengths, counts, budget)
+    assert all(0 <= t <= n for t, n in zip(taken, counts, strict=True))
+    assert sum(a * b for a, b in zip(lengths, taken, strict=True)) == reachable(lengths, counts, budget)
+
+
+def test_fit_is_best_for_long_documents():
+    rng = np.random.default_rng(2)
+    for _ in range(120):
+        k = rng.integers(1, 6)
+        lengths, counts = rng.choice(np.arange(3000, 20_001), k, replace=False).tolist(), rng.integers(1, 9, k).tolist()
+        budget = int(rng.integers(0, sum(a * b for a, b in zip(lengths, counts, strict=True)) + 1))
+        assert sum(a * b for a, b in zip(lengths, M.fit_budget(lengths, counts, budget), strict=True)) == reachable(lengths, counts, budget)
+    lengths, counts = [18114, 19390, 17567, 15652, 14930], [3, 3, 3, 2, 1]
+    assert sum(a * b for a, b in zip(lengths, M.fit_budget(lengths, counts, 177_956), strict=True)) == reachable(lengths, counts, 177_956) > 177_600
+    lengths, counts = list(range(2, 20_000)), [1000] * 19_998
+    budget = sum(lengths) * 1000 // 3 + 1
+    assert sum(a * b for a, b in zip(lengths, M.fit_budget(lengths, counts, budget), strict=True)) == budget
 
 
 def rule(sizes, share=1.5, cap=2.0):
@@ -61,6 +85,20 @@ def test_mix(spark):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_clashing_names_and_ties(spark):
+    texts, ids = ["a b", "a b", "a c", "d e", "f"], [1, 1, 1, 2, None]
+    plain = docs(spark, texts, ["x"] * 5, ids=ids)
+    mixed = M.mix_sources(plain)
+    odd = plain.selectExpr("*", "'k' as _size", "'k' as _ID", "'k' as _c", "'k' as __c", "'k' as _n", "'k' as _i", "'k' as _rows", "'k' as _s", "'k' as _bad")
+    out = M.repeat_documents(odd, mixed)
+    assert out.columns == odd.columns and out.where("_size <> 'k' or _i <> 'k'").count() == 0
+    assert sorted((r["text"]) for r in out.collect()) == sorted(r["text"] for r in M.repeat_documents(plain, mixed).collect())
+    assert out.count() == sum(r["copies"] for r in mixed.collect())
+    again = M.mix_sources(plain.repartition(4))
+    key = lambda r: (r["doc_id"] or 0, r["size"], r["copies"])
+    assert sorted(map(key, mixed.collect())) == sorted(map(key, again.collect()))
+
+
 def test_repeats_and_empty(spark):
     df = docs(spark, ["a b", "a b", "c d e", None], ["x", "x", "y", None], ids=[1, 1, 2, 3])
     mixed = M.mix_sources(df)
