@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh_names, stored
 
 #: Masks of weight 5 over at most 10 words. Chosen by enumeration: whatever words are substituted, one of them
 #: hits every overlap with an item of 10 words or more that meets WINDOW and AGREE.
@@ -21,8 +21,8 @@ WINDOW = 16
 AGREE = 0.75
 #: Items of fewer words are not looked for; those shorter than a mask must occur whole.
 LEAST_WORDS = 5
-#: The seeds of a benchmark are broadcast up to so many, which are 60 MB or so; beyond, the join is shuffled.
-BROADCAST_SEEDS = 1_000_000
+#: The seeds of a benchmark, each with its item's words, are broadcast up to so many bytes; beyond, the join is shuffled.
+BROADCAST_BYTES = 100_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -63,7 +63,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     for n in short:
         seeds = seeds.unionByName(_seeds(items.where(F.size("words") == n), ("1" * n,)))
     seeds = seeds.select("seed", "item_id", F.col("words").alias("item"), F.col("pos").alias("item_pos"))
-    fits = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    size = F.octet_length(F.array_join("item", "")) + 16 * F.size("item") + 64
+    fits = (seeds.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
     table = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     hits = _seeds(table, every).join(F.broadcast(seeds) if fits else seeds, "seed")
     diagonal = F.col("pos") - F.col("item_pos")
@@ -91,7 +92,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     return checked.where(F.col("window_matched") >= need).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
+def unsearchable_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, n_words of the items that find_overlaps() leaves out: fewer than LEAST_WORDS words occur by chance."""
+    n = F.size(words_of(F.col("text")))
+    return benchmark.select("item_id", n.alias("n_words")).where(F.col("n_words") < LEAST_WORDS)
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that overlap with a benchmark item."""
-    bad = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the documents that overlap with a benchmark item.
+
+    Null and empty texts stay. Rows that repeat a doc_id (null too) go together if one of them overlaps. Any further
+    columns of docs stay as they are; an empty benchmark removes nothing.
+    """
+    bad = fresh_names(docs, "bad")["bad"]
+    found = find_overlaps(docs, benchmark).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti")

@@ -61,7 +61,7 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     texts = [" ".join(some(30) + items[i % 5].split() + some(5)) for i in range(12)]
     run = lambda: sorted(map(tuple, D.find_overlaps(docs(spark, texts), bench(spark, items)).collect()))
     near = run()
-    monkeypatch.setattr(D, "BROADCAST_SEEDS", 1)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 1)
     assert run() == near and len(near) == 12
 
 
@@ -80,3 +80,11 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = D.find_overlaps(docs(spark, ["a"]), bench(spark, ["b"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_clashing_name_and_short_items(spark):
+    item = " ".join(some(20))
+    table = docs(spark, [item, "clean words", None], ids=[1, 2, None]).selectExpr("*", "'k' as bad", "'k' as _bad")
+    kept = D.remove_contaminated(table, bench(spark, [item, "only three words"]))
+    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {2, None}
+    assert [r["n_words"] for r in D.unsearchable_items(bench(spark, [item, "only three words"])).collect()] == [3]
