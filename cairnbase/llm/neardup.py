@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import fresh_names, lean, stored
 from .hashing import BASE, mix, substring, sums
 
 WORDS = 5
@@ -428,16 +428,18 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     The ids to drop are the fewer, so they are what the texts are joined with: broadcast up to BROADCAST_IDS. Rows with
     a null doc_id are told apart by their texts: of equal ones to be kept one stays, but for those with an empty set.
     """
+    at = fresh_names(docs, "dropped", "key", "stay", "empty")
+    gone, key, stays, empty = (at[n] for n in ("dropped", "key", "stay", "empty"))
     placed = _placed(docs, PERCENT)
-    dropped = placed.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("not any_kept").select(F.col("doc_id").alias("_dropped"))
+    dropped = placed.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("not any_kept").select(F.col("doc_id").alias(gone))
     dropped = stored(dropped, "neardup-dropped")
     few = dropped.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    out = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col(gone), "left_anti")
     nameless = stored(placed.where("doc_id is null"), "neardup-nameless")
     if not nameless.limit(1).count():
         return out
-    rest = docs.where("doc_id is null").withColumn("_key", F.xxhash64("text"))
-    stay = nameless.where("kept").select(F.col("key").alias("_stay"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    rest = rest.join(stay, F.col("_key") == F.col("_stay"))
-    one = rest.where("not _empty").dropDuplicates(["_key"])
-    return out.where("doc_id is not null").unionByName(rest.where("_empty").union(one).select(docs.columns))
+    rest = docs.where("doc_id is null").withColumn(key, F.xxhash64("text"))
+    stay = nameless.where("kept").select(F.col("key").alias(stays), (F.col("n_shingles") == 0).alias(empty)).distinct()
+    rest = rest.join(stay, F.col(key) == F.col(stays))
+    one = rest.where(~F.col(empty)).dropDuplicates([key])
+    return out.where("doc_id is not null").unionByName(rest.where(F.col(empty)).union(one).select(docs.columns))
