@@ -84,17 +84,23 @@ def cut_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """The contents of a gzip file of one or many members, in pieces; only a piece is held at a time."""
-    unzip = zlib.decompressobj(31)
+    """The contents of a gzip file of one or many members, in pieces; only a piece is held at a time.
+
+    A file whose last member does not reach its end is an error, even if it is cut between two records.
+    """
+    unzip, begun = zlib.decompressobj(31), False
     while data := source.read(CHUNK):
         while data:
+            begun = True
             yield unzip.decompress(data, CHUNK)
             while unzip.unconsumed_tail:
                 yield unzip.decompress(unzip.unconsumed_tail, CHUNK)
             if unzip.eof:
-                data, unzip = unzip.unused_data, zlib.decompressobj(31)
+                data, unzip, begun = unzip.unused_data, zlib.decompressobj(31), False
             else:
                 break
+    if begun:
+        raise ValueError("the last member is cut off")
 
 
 def normalise(source, sink) -> list[tuple[int, int]]:

@@ -24,6 +24,15 @@ def test_normaliser_cuts_one_member_for_each_record():
         list(W.cut_records(iter([records[0][:-3]])))
 
 
+def test_a_stream_cut_between_records():
+    records = [W.record(i, "u", b"x" * 300, None) for i in range(3)]
+    zipper = W.zlib.compressobj(6, W.zlib.DEFLATED, 31)
+    cut = zipper.compress(b"".join(records)) + zipper.flush(W.zlib.Z_SYNC_FLUSH)
+    with pytest.raises(ValueError, match="member"):
+        W.normalise(io.BytesIO(cut), io.BytesIO())
+    W.normalise(io.BytesIO(cut + zipper.flush()), io.BytesIO())
+
+
 def test_chunks_of_any_size():
     records = [W.record(i, "u", b"x" * (i * 37), None) for i in range(5)]
     data = b"".join(records)
