@@ -2,8 +2,8 @@
 
 File format (little-endian): ``CTID``, version u8, width u8, 2 bytes zero, ids per block u32; then blocks. A block
 holds ids in groups of 64, each group in ``width`` words of 64 bits: id i of a group occupies the bits from
-i * width on. The footer is an npz-free pair of arrays: for each document its first id and number of ids (u64, u32)
-and for each block its byte offset (u64), then ``n_docs u64, n_blocks u64, n_ids u64, footer offset u64, CTID``.
+i * width on. The footer is an npz-free pair of arrays: for each document its first id, number of ids, its doc_id and whether
+it has one (u64, u32, i64, u8) and for each block its byte offset (u64), then ``n_docs u64, n_blocks u64, n_ids u64, footer offset u64, CTID``.
 Block offsets allow a read of any id without the ids before it.
 """
 
@@ -97,14 +97,15 @@ class Writer:
         assert block % 64 == 0
         self.sink, self.width, self.block = sink, width, block
         self.at, self.n_ids, self.held, self.pending = 0, 0, [], 0
-        self.firsts, self.counts, self.offsets = [], [], []
-        self._put(HEADER.pack(MAGIC, 1, width, 0, block))
+        self.firsts, self.counts, self.doc_ids, self.offsets = [], [], [], []
+        self._put(HEADER.pack(MAGIC, 2, width, 0, block))
 
     def _put(self, data: bytes) -> None:
         self.sink.write(data)
         self.at += len(data)
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, doc_id: int | None = None) -> None:
+        self.doc_ids.append(doc_id)
         self.firsts.append(self.n_ids)
         self.counts.append(len(ids))
         self.n_ids += len(ids)
@@ -124,7 +125,9 @@ class Writer:
     def close(self) -> None:
         self._flush(True)
         at = self.at
-        self._put(np.array(self.firsts, "<u8").tobytes() + np.array(self.counts, "<u4").tobytes() + np.array(self.offsets, "<u8").tobytes())
+        named = np.array([d is not None for d in self.doc_ids], np.uint8)
+        doc_ids = np.array([d or 0 for d in self.doc_ids], "<i8")
+        self._put(b"".join(x.tobytes() for x in (np.array(self.firsts, "<u8"), np.array(self.counts, "<u4"), doc_ids, named, np.array(self.offsets, "<u8"))))
         self._put(FOOTER.pack(len(self.firsts), len(self.offsets), self.n_ids, at, MAGIC))
 
 
@@ -135,12 +138,14 @@ class Reader:
         self.source = source
         magic, version, self.width, _, self.block = HEADER.unpack(self._get(0, HEADER.size))
         n_docs, n_blocks, self.n_ids, at, end = FOOTER.unpack(self._get(size - FOOTER.size, FOOTER.size))
-        if magic != MAGIC or end != MAGIC or version != 1:
+        if magic != MAGIC or end != MAGIC or version != 2:
             raise ValueError("not a token-id file")
-        foot = self._get(at, n_docs * 12 + n_blocks * 8)
+        foot = self._get(at, n_docs * 21 + n_blocks * 8)
         self.firsts = np.frombuffer(foot, "<u8", n_docs)
         self.counts = np.frombuffer(foot, "<u4", n_docs, n_docs * 8)
-        self.offsets = np.frombuffer(foot, "<u8", n_blocks, n_docs * 12)
+        self.doc_ids = np.frombuffer(foot, "<i8", n_docs, n_docs * 12)
+        self.named = np.frombuffer(foot, np.uint8, n_docs, n_docs * 20).astype(bool)
+        self.offsets = np.frombuffer(foot, "<u8", n_blocks, n_docs * 21)
         self._kept = (-1, np.empty(0, np.uint32))
 
     def _get(self, at: int, n: int) -> bytes:
@@ -263,7 +268,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
 
     Documents are range-partitioned by doc_id (null first), one file for each range; equal doc_ids are ordered by text.
     A file is written under a name of its own for each attempt and only the manifest tells which one counts, so a
-    lost executor or a second attempt does no harm.
+    lost executor or a second attempt does no harm. A null text is empty, so it has the end id alone; rows that repeat a
+    doc_id, and rows without one, are documents of their own. Other columns are ignored; an empty table gives no file.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-ids")
@@ -280,32 +286,31 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{root}/{name}")
-                writer, doc_ids = Writer(sink, vocabulary_bits(max(encoder.size, (end_id or 0) + 1))), []
+                writer = Writer(sink, vocabulary_bits(max(encoder.size, (end_id or 0) + 1)))
+            doc_ids = iter(batch.column("doc_id").to_pylist())
             for texts in in_groups(batch.column("text")):
                 for ids in encoder.many(texts):
-                    writer.add(np.append(ids, np.uint32(end_id)) if end_id is not None else ids)
-            doc_ids.append(batch.column("doc_id"))
+                    writer.add(np.append(ids, np.uint32(end_id)) if end_id is not None else ids, next(doc_ids))
         if writer is None:
             return
         writer.close()
         sink.close()
         size = writer.at
-        ids = pa.chunked_array(doc_ids).combine_chunks()
-        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-        row = {"part": [part], "path": [f"{folder}/{name}"], "bytes": [size], "n_docs": [len(ids)], "n_ids": [writer.n_ids], "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64()))}
-        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64()))]))
+        row = {"part": [part], "path": [f"{folder}/{name}"], "bytes": [size], "n_docs": [len(writer.firsts)], "n_ids": [writer.n_ids]}
+        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(lean(encode), "part long, path string, bytes long, n_docs long, n_ids long, doc_ids array<long>"), "token-manifest")
+    return stored(ordered.mapInArrow(lean(encode), "part long, path string, bytes long, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files of a manifest, read back from them.
 
-    start counts the ids of all documents before; the window runs over one row for each file.
+    start counts the ids of all documents before; the window runs over one row for each file. All else is in the files,
+    null doc_ids too. An empty manifest gives no row.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("path", "bytes", "doc_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    placed = manifest.select("path", "bytes", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     spread = placed.repartition(max(2, shuffle_partitions(manifest.sparkSession)), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +321,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     reader = Reader(source, row["bytes"])
                     crc = [zlib.crc32(reader.document(i).astype("<u4").tobytes()) for i in range(len(reader.firsts))]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                    "doc_id": pa.array(reader.doc_ids, pa.int64(), mask=~reader.named),
                     "start": pa.array(reader.firsts.astype(np.int64) + row["base"]),
                     "n_tokens": pa.array(reader.counts.astype(np.int64)),
                     "ids_crc32": pa.array(crc, pa.int64()),
