@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 # Patterns and word lists that results depend on.
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 STOPWORDS = "a an and are as at be but by for from has have in into is it its of on or that the their this to was were will with".split()
+LEADER = "...."
 LEADER_LINE = r"\.{4,}\s*\d*\s*$"
 FURNITURE_LINE = r"(?i)^\s*(version date:\s*[\d-]+|bluetooth sig proprietary|page\s+\d+|bluetooth core specification\b.*)\s*$"
 ARTICLES = ["the", "a", "an"]
@@ -66,21 +67,37 @@ def lines(text: Column) -> Column:
     return F.split(text, r"\r\n|\n|\r")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _many_leaders(rows: Column) -> Column:
+    """rows: the lines without white space around them."""
+    full = F.size(F.filter(rows, lambda x: F.length(x) > 0))
+    return _let(full, lambda n: (n >= 4) & (F.size(F.filter(rows, lambda x: x.rlike(LEADER_LINE))) >= 0.3 * n))
+
+
+def _few_furniture(rows: Column) -> Column:
+    return _let(F.filter(rows, lambda x: F.length(x) >= 3), lambda full: F.size(full).between(1, 4) & F.forall(full, lambda x: x.rlike(FURNITURE_LINE)))
+
+
+def _rows(text: Column) -> Column:
+    return F.transform(lines(text), strip)
+
+
 def is_contents_noise(text: Column) -> Column:
     """Four or more non-blank lines, at least 30 % of which trail off in dots."""
-    full = F.filter(lines(text), lambda x: F.length(strip(x)) > 0)
-    leaders = F.filter(full, lambda x: x.rlike(LEADER_LINE))
-    return (F.size(full) >= 4) & (F.size(leaders) >= 0.3 * F.size(full))
+    return _let(_rows(text), _many_leaders)
 
 
 def is_boilerplate(text: Column) -> Column:
     """One to four lines of three or more characters, all of them page furniture."""
-    full = F.filter(F.transform(lines(text), strip), lambda x: F.length(x) >= 3)
-    return F.size(full).between(1, 4) & F.forall(full, lambda x: x.rlike(FURNITURE_LINE))
+    return _let(_rows(text), _few_furniture)
 
 
 def is_noise(text: Column) -> Column:
-    return is_contents_noise(text) | is_boilerplate(text)
+    return _let(_rows(text), lambda rows: _few_furniture(rows) | (F.contains(text, F.lit(LEADER)) & _many_leaders(rows)))
 
 
 def strip_row_label(c: Column) -> Column:
@@ -192,13 +209,21 @@ def keyword_in_context(text: Column, needle: str, lead: int = 48, width: int = 2
 
 
 def split_text(text: Column, size: int = 1500, overlap: int = 200) -> Column:
-    """Windows of size characters that overlap: array of struct(ord, text); blank windows are left out."""
-    s = strip(text)
+    """Windows of size characters that overlap: array of struct(ord, text); blank windows are left out.
+
+    Cutting a window walks the text from its start, so the text is first cut into long blocks, and windows out of those:
+    that is linear up to some megabytes of text.
+    """
     step = size - overlap
-    n = F.when(F.length(s) <= size, 1).otherwise(F.floor((F.length(s) - 1) / step) + 1)
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.substr(s, (i * step + 1).cast("int"), F.lit(size)))
-    kept = F.filter(parts, lambda p: F.length(strip(p)) > 0)
-    return F.transform(kept, lambda p, i: F.struct(i.alias("ord"), strip(p).alias("text")))
+    block = 64 * step
+
+    def windows(s: Column) -> Column:
+        n = F.when(F.length(s) <= size, 1).otherwise(F.floor((F.length(s) - 1) / step) + 1).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda b: F.struct(b.alias("b"), F.substr(s, b * block + 1, F.lit(block + overlap)).alias("s")))
+        cut = F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(0), F.least(n - 1 - x["b"] * 64, F.lit(63))), lambda i: strip(F.substr(x["s"], i * step + 1, F.lit(size)))))
+        return F.filter(F.flatten(cut), lambda p: F.length(p) > 0)
+
+    return F.transform(_let(strip(text), windows), lambda p, i: F.struct(i.alias("ord"), p.alias("text")))
 
 
 def occurrences(text: Column, needle: str) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cairnbase-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its plan, in the folder that driver and executors share."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -20,13 +19,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100)
 
     Each round takes the least label of the neighbours and follows it one step; lineage is cut by a checkpoint.
     """
-    both = _checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("u", "v"))
-    labels = _checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")))
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("u", "v"))
+    labels = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
         lower = labels.join(near, "u").select("u", "label", F.least("label", "n").alias("low"))
         jump = labels.select(F.col("u").alias("low"), F.col("label").alias("next"))
-        new = _checkpointed(lower.join(jump, "low").select("u", F.least("low", "next").alias("new"), "label"))
+        new = checkpointed(lower.join(jump, "low").select("u", F.least("low", "next").alias("new"), "label"))
         done = not new.where("new < label").limit(1).count()
         labels = new.select("u", F.col("new").alias("label"))
         if done:
@@ -56,7 +55,7 @@ def follow_merges(merges: DataFrame, rounds: int = 64) -> DataFrame:
     latest = merges.groupBy("from_id").agg(F.max_by("into_id", "id").alias("to"))
     for _ in range(rounds):
         step = latest.select(F.col("from_id").alias("m"), F.col("to").alias("next"))
-        new = _checkpointed(latest.join(step, F.col("to") == F.col("m"), "left").select("from_id", F.when(F.col("next").isNull() | (F.col("next") == F.col("from_id")), F.col("to")).otherwise(F.col("next")).alias("to"), F.col("to").alias("was")))
+        new = checkpointed(latest.join(step, F.col("to") == F.col("m"), "left").select("from_id", F.when(F.col("next").isNull() | (F.col("next") == F.col("from_id")), F.col("to")).otherwise(F.col("next")).alias("to"), F.col("to").alias("was")))
         latest = new.select("from_id", "to")
         if not new.where("to <> was").limit(1).count():
             break

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_noise, split_text
+from ..session import ensure_checkpoint_dir
 
 
 def chunk_pages(pages: DataFrame, key: str, text: str = "text", size: int = 1500, overlap: int = 200) -> DataFrame:
@@ -18,18 +19,22 @@ def section_bounds(toc: DataFrame, file: str = "file_id", total: str = "total_pa
     """Adds parent_ord and page_end to outline entries (file, ord, level, page, total).
 
     The parent is the nearest entry before with a smaller level; a section ends on the page before the next entry of
-    the same or a smaller level, or on the last page. One window over the file; no self-join.
+    the same or a smaller level, or on the last page. One window over the file for each level that occurs, which carry
+    one entry each; no self-join, and no list of entries in a row.
     """
     here = Window.partitionBy(file).orderBy("ord")
-    before = F.collect_list(F.struct("ord", "level")).over(here.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.collect_list(F.struct("ord", "level", "page")).over(here.rowsBetween(1, Window.unboundedFollowing))
-    with_lists = toc.withColumns({"_before": before, "_after": after})
-    parents = F.filter("_before", lambda e: e["level"] < F.col("level"))
-    nexts = F.filter("_after", lambda e: e["level"] <= F.col("level"))
-    return with_lists.withColumns({
-        "parent_ord": F.when(F.size(parents) > 0, F.element_at(parents, -1)["ord"]),
-        "page_end": F.when(F.size(nexts) > 0, F.greatest(F.col("page"), F.element_at(nexts, 1)["page"] - 1)).otherwise(F.col(total)),
-    }).drop("_before", "_after")
+    before, after = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(1, Window.unboundedFollowing)
+    levels = sorted(r[0] for r in toc.select("level").distinct().collect() if r[0] is not None)  # a handful
+    if not levels:
+        return toc.withColumns({"parent_ord": F.lit(None).cast(toc.schema["ord"].dataType), "page_end": F.col(total)})
+    entry = F.struct("ord", "page")
+    near = {f"_p{k}": F.last(F.when(F.col("level") == n, F.col("ord")), ignorenulls=True).over(before) for k, n in enumerate(levels)}
+    near |= {f"_n{k}": F.first(F.when(F.col("level") == n, entry), ignorenulls=True).over(after) for k, n in enumerate(levels)}
+    seen = toc.withColumns(near)
+    parent = F.array_max(F.array(*[F.when(F.col("level") > n, F.col(f"_p{k}")) for k, n in enumerate(levels)]))
+    following = F.array_min(F.array(*[F.when(F.col("level") >= n, F.col(f"_n{k}")) for k, n in enumerate(levels)]))
+    out = seen.withColumns({"parent_ord": parent, "_next": following})
+    return out.withColumn("page_end", F.when(F.col("_next").isNotNull(), F.greatest(F.col("page"), F.col("_next.page") - 1)).otherwise(F.col(total))).drop("_next", *near)
 
 
 def page_chapters(pages: DataFrame, chapters: DataFrame, file: str = "file_id") -> DataFrame:
@@ -55,10 +60,7 @@ def top_level(chapters: DataFrame, rounds: int = 64) -> DataFrame:
     spark = chapters.sparkSession
     ids = chapters.select(F.col("id").alias("p"))
     up = chapters.select("id", F.col("parent_id").alias("to")).join(ids, F.col("to") == F.col("p"), "left").select("id", F.coalesce("p", "id").alias("to"))
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairnbase-"))
+    ensure_checkpoint_dir(spark)
     for _ in range(rounds):
         step = up.select(F.col("id").alias("m"), F.col("to").alias("next"))
         new = up.join(step, F.col("to") == F.col("m")).select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")).checkpoint()

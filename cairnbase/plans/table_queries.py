@@ -9,7 +9,7 @@ from ..functions.text import norm_key
 from ..functions.time import month_range
 from ..operators import entities as E
 from ..operators import filters, graph, ledger, mutate, quality, structure
-from ..session import table
+from ..session import ensure_checkpoint_dir, table
 
 
 def _files(spark, sf_dir) -> DataFrame:
@@ -201,26 +201,30 @@ def relabel_plan(spark, sf_dir):
     return E.relabel_plan(named, _claims(spark, sf_dir), compose=False)
 
 
-def merge_repoint(spark, sf_dir):
-    """Every part with an odd key folded into the one before it: claims for each part afterwards."""
-    p, m = _parts(spark, sf_dir), _mentions(spark, sf_dir)
-    e = p.withColumn("aliases", F.array().cast("array<string>"))
-    plan = p.where("id % 2 = 1 and id > 1").select(F.col("id").alias("from_id"), (F.col("id") - 1).alias("into_id"))
-    out = mutate.merge_entities(e, _claims(spark, sf_dir), m, plan)
+def _mergeable(spark, sf_dir):
+    """Parts as entities with aliases, acronyms and pages; every part with an odd key is folded into the one before it."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.array("p_brand", F.substring_index("p_type", " ", -1)).alias("aliases"), F.array(F.substring("p_type", 1, 3)).alias("acronyms"), F.concat(F.lit("entities/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("wiki_path"))
+    e = _parts(spark, sf_dir).join(names, F.col("id") == F.col("k")).drop("k")
+    return e, e.where("id % 2 = 1 and id > 1").select(F.col("id").alias("from_id"), (F.col("id") - 1).alias("into_id"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("Part "), F.col("id").cast("string"))).alias("display_name"))
+
+
+def _merged_rows(out):
     n = out["claims"].groupBy("entity_id").agg(F.count("*").alias("claims"))
-    return out["entities"].join(n, F.col("id") == F.col("entity_id"), "left").select("id", "status", F.coalesce("claims", F.lit(0)).alias("claims"), "source_count", F.array_join("aliases", ";").alias("aliases"))
+    text = lambda c: F.array_join(c, ";").alias(c)
+    return out["entities"].join(n, F.col("id") == F.col("entity_id"), "left").select("id", "name", "status", F.coalesce("claims", F.lit(0)).alias("claims"), "source_count", text("aliases"), text("acronyms"), "wiki_path")
+
+
+def merge_repoint(spark, sf_dir):
+    """Entities after folding odd parts into even ones, some of which get a display name."""
+    e, plan = _mergeable(spark, sf_dir)
+    return _merged_rows(mutate.merge_entities(e, _claims(spark, sf_dir), _mentions(spark, sf_dir), plan))
 
 
 def unmerge_round_trip(spark, sf_dir):
-    """A merge and its undo leave claims, status and names as they were: rows that differ (none)."""
-    p, m, c = _parts(spark, sf_dir), _mentions(spark, sf_dir), _claims(spark, sf_dir)
-    e = p.withColumn("aliases", F.array().cast("array<string>"))
-    plan = p.where("id % 2 = 1 and id > 1").select(F.col("id").alias("from_id"), (F.col("id") - 1).alias("into_id"))
-    out = mutate.merge_entities(e, c, m, plan)
-    back = mutate.unmerge_entities(out["entities"], out["claims"], out["mentions"], out["manifest"])
-    changed = back["claims"].select("id", F.col("entity_id").alias("now")).join(c.select("id", "entity_id"), "id").where("now <> entity_id").agg(F.count("*").alias("claims_changed"))
-    states = back["entities"].select("id", F.col("status").alias("s"), F.col("name").alias("n")).join(p.select("id", "status", "name"), "id").where("s <> status or n <> name").agg(F.count("*").alias("entities_changed"))
-    return changed.withColumn("k", F.lit(1)).join(states.withColumn("k", F.lit(1)), "k").drop("k")
+    """The same entities after the merge and its undo."""
+    e, plan = _mergeable(spark, sf_dir)
+    out = mutate.merge_entities(e, _claims(spark, sf_dir), _mentions(spark, sf_dir), plan)
+    return _merged_rows(mutate.unmerge_entities(out["entities"], out["claims"], out["mentions"], out["manifest"]))
 
 
 def upsert_rows(spark, sf_dir):
@@ -268,11 +272,9 @@ def junk_entities(spark, sf_dir):
 
 def stream_dedupe(spark, sf_dir):
     """Documents through a file stream, each content once: the keys that a finished stream has kept."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnbase-")
-    root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*")
     once = stream.select(F.sha2("text", 256).alias("content_hash")).dropDuplicates(["content_hash"])
@@ -361,12 +363,15 @@ ORACLES = {
         l AS (SELECT *, first_value(id) OVER (PARTITION BY lower(clean) ORDER BY n_claims DESC, source_count DESC, id) AS sib FROM lab WHERE clean <> nm)
         SELECT id, clean, CASE WHEN clean = '' THEN 'prune' WHEN twin IS NOT NULL THEN 'fold' WHEN sib = id THEN 'rename' ELSE 'fold' END AS action,
           CASE WHEN clean = '' THEN NULL WHEN twin IS NOT NULL THEN twin WHEN sib <> id THEN sib END AS into_id FROM l LEFT JOIN twins ON ck = lower(clean)""",
-    "merge_repoint": """WITH moved AS (SELECT CASE WHEN l_partkey % 2 = 1 AND l_partkey > 1 THEN l_partkey - 1 ELSE l_partkey END AS k, l_suppkey FROM lineitem), n AS (SELECT k, count(*) AS c, count(DISTINCT l_suppkey) AS s FROM moved GROUP BY k)
-        SELECT p.p_partkey AS id, CASE WHEN p.p_partkey % 2 = 1 AND p.p_partkey > 1 THEN 'merged_into' ELSE 'active' END AS status, coalesce(c, 0) AS claims,
-          CASE WHEN p.p_partkey = 1 OR (p.p_partkey % 2 = 0 AND q.p_partkey IS NULL) THEN p.p_size ELSE CAST(coalesce(s, 0) AS INT) END AS source_count,
-          CASE WHEN p.p_partkey % 2 = 0 AND q.p_partkey IS NOT NULL THEN q.p_name ELSE '' END AS aliases
-        FROM part p LEFT JOIN n ON k = p.p_partkey LEFT JOIN part q ON q.p_partkey = p.p_partkey + 1 AND q.p_partkey % 2 = 1 AND q.p_partkey > 1""",
-    "unmerge_round_trip": "SELECT CAST(0 AS BIGINT) AS claims_changed, CAST(0 AS BIGINT) AS entities_changed",
+    "merge_repoint": """WITH e AS (SELECT p_partkey AS id, p_name AS name, [p_brand, string_split(p_type, ' ')[-1]] AS al, [substring(p_type, 1, 3)] AS ac, p_size, p_partkey % 2 = 1 AND p_partkey > 1 AS folded FROM part),
+        n AS (SELECT CASE WHEN l_partkey % 2 = 1 AND l_partkey > 1 THEN l_partkey - 1 ELSE l_partkey END AS k, count(*) AS c, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1),
+        j AS (SELECT e.*, q.id AS qid, q.name AS qname, q.al AS qal, q.ac AS qac, coalesce(c, 0) AS c, CAST(coalesce(s, 0) AS INT) AS s FROM e LEFT JOIN e q ON NOT e.folded AND q.folded AND q.id = e.id + 1 LEFT JOIN n ON k = e.id),
+        w AS (SELECT *, CASE WHEN qid IS NULL THEN al ELSE al || qal || [qname] || CASE WHEN qid % 5 = 0 THEN [name] ELSE [] END END AS al2, CASE WHEN qid IS NULL THEN ac ELSE ac || qac END AS ac2 FROM j)
+        SELECT id, CASE WHEN qid % 5 = 0 THEN 'Part ' || qid ELSE name END AS name, CASE WHEN folded THEN 'merged_into' ELSE 'active' END AS status, c AS claims, CASE WHEN qid IS NULL THEN p_size ELSE s END AS source_count,
+          array_to_string(list_filter(al2, lambda x, i: list_position(al2, x) = i), ';') AS aliases, array_to_string(list_filter(ac2, lambda x, i: list_position(ac2, x) = i), ';') AS acronyms, 'entities/' || CASE WHEN folded THEN id - 1 ELSE id END || '.md' AS wiki_path FROM w""",
+    "unmerge_round_trip": """WITH n AS (SELECT l_partkey AS k, count(*) AS c, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1), m AS (SELECT max(p_partkey) AS top FROM part)
+        SELECT p_partkey AS id, p_name AS name, 'active' AS status, coalesce(c, 0) AS claims, CASE WHEN p_partkey <= 1 OR (p_partkey % 2 = 0 AND p_partkey = top) THEN p_size ELSE CAST(coalesce(s, 0) AS INT) END AS source_count,
+          p_brand || ';' || string_split(p_type, ' ')[-1] AS aliases, substring(p_type, 1, 3) AS acronyms, CASE WHEN p_partkey % 2 = 0 OR p_partkey = 1 THEN 'entities/' || p_partkey || '.md' END AS wiki_path FROM part LEFT JOIN n ON k = p_partkey, m""",
     "upsert_rows": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'NEW', n_regionkey FROM nation WHERE n_nationkey = 0",
     "patch_rows": "SELECT n_nationkey, CASE WHEN n_nationkey < 5 AND n_nationkey % 2 = 0 THEN 'even' ELSE n_name END AS n_name, n_regionkey FROM nation",
     "follow_merges": """WITH RECURSIVE step AS (SELECT c_custkey AS f, CASE WHEN c_custkey % 4 = 0 THEN c_custkey // 2 ELSE c_custkey % 4 END AS t FROM customer WHERE c_custkey > 1), e AS (SELECT * FROM step WHERE f <> t),

@@ -18,7 +18,7 @@ _DDL = {
     "claim_sources": "id long, claim_id long, chunk_id long, file_id long",
     "mentions": "id long, file_id long, chunk_id long, entity_id long, score double, decision string, signals struct<alias:double,lexical:double,embed:double,comention:double>",
     "entity_review": "id long, mention_surface string, mention_type string, file_id long, entity_id long, payload string, llm_verdict string, human_verdict string, state string",
-    "entity_merges": "id long, from_id long, into_id long, reason string, committed_sha string, moved struct<claims:array<long>,mentions:array<long>,prior_status:string,prior_name:string>",
+    "entity_merges": "id long, from_id long, into_id long, reason string, committed_sha string, moved struct<claims:array<long>,mentions:array<long>,aliases_added:array<string>,acronyms_added:array<string>,renamed_from:string,prior_status:string,prior_name:string>",
     "images": "id long, file_id long, width int, height int, vlm_description string, ocr_text string, exif_datetime timestamp, gps_lat double, gps_lon double, geo_country string, geo_place string, is_floorplan boolean, cluster_id long",
     "vec_text": "chunk_id long, file_id long, chapter_id long, page int, vector array<float>",
     "vec_images": "file_id long, format string, byte_size long, geo_country string, exif_ts long, vector array<float>",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,19 @@ def build_session(app: str = "cairnbase", cores: str | int = "*", shuffle_partit
     )
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where it is unset; that only where driver and executors are one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {context.master})")
+        found = tempfile.mkdtemp(prefix="cairnbase-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of an input folder; the path may be on any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

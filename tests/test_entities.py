@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairnbase.operators import entities as E
@@ -95,13 +96,42 @@ def test_merge_and_undo(spark):
     plan = spark.createDataFrame([(2, 1)], "from_id long, into_id long")
     out = mutate.merge_entities(e, c, m, plan)
     by_id = {r["id"]: r for r in out["entities"].collect()}
-    assert by_id[1]["aliases"] == ["B", "bee"] and by_id[1]["source_count"] == 2 and by_id[2]["status"] == "merged_into"
+    assert by_id[1]["aliases"] == ["bee", "B"] and by_id[1]["source_count"] == 2 and by_id[2]["status"] == "merged_into"
     assert {r["entity_id"] for r in out["claims"].collect()} == {1}
     back = mutate.unmerge_entities(out["entities"], out["claims"], out["mentions"], out["manifest"])
     assert sorted(map(tuple, back["claims"].select(*c.columns).collect())) == sorted(map(tuple, c.collect()))
     assert {r["id"]: (r["status"], r["source_count"]) for r in back["entities"].collect()} == {1: ("active", 1), 2: ("active", 1)}
 
 
+FULL = "id long, name string, type string, aliases array<string>, acronyms array<string>, wiki_path string, status string, source_count int"
+
+
+def test_merge_gives_and_undo_takes_back(spark):
+    rows = [(1, "A", "t", ["x"], ["AA"], "a.md", "unresolved", 1), (2, "B", "t", ["y"], ["BB"], "b.md", "active", 1), (3, "C", "t", ["x", "z"], None, "c.md", "active", 1), (4, "Other", "t", None, None, None, "active", 0)]
+    e = spark.createDataFrame(rows, FULL)
+    c, m = claims_of(spark, {1: 2, 2: 1}), spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 3)], "id long, entity_id long, file_id long")
+    plan = spark.createDataFrame([(1, 2, None), (3, 1, "Better")], "from_id long, into_id long, display_name string")  # a chain: 3 to 1 to 2
+    out = mutate.merge_entities(e, c, m, plan)
+    got = {r["id"]: r for r in out["entities"].collect()}
+    assert (got[2]["name"], got[2]["aliases"], got[2]["acronyms"], got[2]["source_count"]) == ("Better", ["y", "x", "A", "z", "C", "B"], ["BB", "AA"], 3)
+    assert [(got[i]["status"], got[i]["wiki_path"]) for i in (1, 3)] == [("merged_into", "b.md")] * 2 and got[4]["aliases"] is None
+    back = mutate.unmerge_entities(out["entities"], out["claims"], out["mentions"], out["manifest"])["entities"].select(*e.columns).collect()
+    assert sorted(tuple(r) for r in back) == [(i, *r[:4], r[4] if i in (2, 4) else None, *r[5:]) for i, *r in rows]
+    taken = spark.createDataFrame([(1, 2, "Other")], "from_id long, into_id long, display_name string")
+    assert {r["name"] for r in mutate.merge_entities(e, c, m, taken)["entities"].where("id = 2").collect()} == {"B"}
+
+
+@pytest.mark.parametrize("plan", [[(1, 1)], [(1, 99)], [(1, 2), (2, 1)]])
+def test_bad_merges_are_refused(spark, plan):
+    e = spark.createDataFrame([entity(1, "A"), entity(2, "B")], ENTITY)
+    m = spark.createDataFrame([], "id long, entity_id long, file_id long")
+    with pytest.raises(Exception, match="merge"):
+        mutate.merge_entities(e, claims_of(spark, {1: 1}), m, spark.createDataFrame(plan, "from_id long, into_id long"))["entities"].collect()
+    with pytest.raises(Exception, match="undone"):
+        empty = spark.createDataFrame([(1, 2, None)], "from_id long, into_id long, moved struct<claims:array<long>,mentions:array<long>,aliases_added:array<string>,acronyms_added:array<string>,renamed_from:string,prior_status:string>")
+        mutate.unmerge_entities(e, claims_of(spark, {1: 1}), m, empty)["entities"].collect()
+
+
 def test_merge_candidates(spark):
     rows = [(0, 0, "E0", "concept", ["a"], ["x", "y"]), (1, 0, "E0 cipher", "component", [], ["z"]), (1, 1, "E0", "component", ["b"], ["x"])]
     df = spark.createDataFrame(rows, "window int, ord int, name string, type string, aliases array<string>, claims array<string>")
