@@ -94,7 +94,7 @@ def has_candidates(text: str) -> bool:
 
 def _shape(core: str) -> str:
     """Letters as a, digits as 9 with the length of their run."""
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", lambda m: f"9{len(m.group())}", core))[:40]
+    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", lambda m: f"9{len(m.group())}", core))
 
 
 def tokens_of(text: str) -> list[tuple[int, int, str, bool]]:
@@ -281,7 +281,11 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train_field(docs: DataFrame, limit: int = TRAIN_DOCS) -> Field:
-    """Weights from about ``limit`` distinct texts with a digit or an @, drawn by hash and read whole."""
+    """Weights from about ``limit`` distinct texts with a digit or an @, drawn by hash.
+
+    Each drawn text is searched whole; every candidate in it goes to the driver, with 40 characters on both sides, which
+    is all that features and labels look at.
+    """
     some = docs.where(F.col("text").rlike("[0-9@]")).select("text")
     n = some.count()
     if not n:

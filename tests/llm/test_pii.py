@@ -1,3 +1,4 @@
+import random
 import hashlib
 import itertools
 
@@ -95,3 +96,26 @@ def test_table(spark):
         assert set(P.written(base).split(",")) <= set(got[i]["spans"].split(",")) or not base
     assert P.find_personal_data(docs(spark, [])).count() == 0
     assert P.find_personal_data(docs(spark, ["no data", None])).count() == 2
+
+
+def test_skip_links_find_repeats_that_patterns_miss(spark):
+    """A phone number repeated without its prefix, far from the first: found by way of the skip links alone."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts, marks = [], []
+    for _ in range(60):
+        number, plain = f"{digits(3)} {digits(7)}", " ".join(["lorem"] * rng.randint(5, 60))
+        head = f"Call +{digits(2)} {number} now. {plain} Later use "
+        texts.append(f"{head}{number} again. {plain} Room {digits(3)} costs {digits(7)} points.")
+        marks.append((len(head), len(head) + len(number)))
+    sample = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9@]'").select("text").distinct().collect()]
+    field = P.Field.train(sorted(sample))
+    found = {}
+    for skip in (field.skip, 0.0):
+        hit = wrong = 0
+        for (base, spans), (a, b) in zip(P.label_batch(P.Field(field.index, field.weights, field.transitions, skip), texts), marks, strict=True):
+            added = [x for x in spans if x not in base]
+            hit += any(k == 3 and s < b and a < e for k, s, e in added)
+            wrong += sum(not (s < b and a < e) for _, s, e in added)
+        found[skip] = hit, wrong
+    assert found[field.skip] == (60, 0) and found[0.0] == (0, 0)
