@@ -10,7 +10,7 @@ that the model has not counted, are rejected.
 
 from __future__ import annotations
 
-import pickle
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -133,18 +133,26 @@ class Model:
 
     def written(self, spark: SparkSession) -> str:
         """Path of a copy in the shared folder: a task reads it and drops it when done, so that no worker keeps it."""
-        path = f"{scratch(spark, 'langid')}.pkl"
+        path = f"{scratch(spark, 'langid')}.npz"
         fs, at = filesystem(path)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
+        arrays = {f"{name}{k}": x for name in ("keys", "alphas", "lambdas") for k, x in enumerate(getattr(self, name))}
+        held = io.BytesIO()
+        np.savez(held, langs=np.array(self.langs, "U"), start=self.start, size=self.size, limits=np.array(self.limits, float), **arrays)
         with fs.open_output_stream(at) as sink:
-            sink.write(pickle.dumps(self))
+            sink.write(held.getbuffer())
         return path
 
     @staticmethod
     def read(path: str) -> Model:
         fs, at = filesystem(path)
         with fs.open_input_stream(at) as source:
-            return pickle.loads(source.read())
+            found = np.load(io.BytesIO(source.read()), allow_pickle=False)
+        order = sum(name.startswith("keys") for name in found.files)
+        by_order = [[found[f"{name}{k}"] for k in range(order)] for name in ("keys", "alphas", "lambdas")]
+        model = Model([str(x) for x in found["langs"]], *by_order, found["start"], int(found["size"]))
+        model.limits = found["limits"].tolist()
+        return model
 
     def _find(self, k: int, hashed: np.ndarray) -> np.ndarray:
         """Place of each n-gram in its order's array, or -1."""

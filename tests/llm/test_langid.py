@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -91,3 +92,61 @@ def test_training_leaves_held_out_rows_aside(spark):
     df = docs(spark, ["x"] * 50)
     got = {r["doc_id"] for r in df.where(L.in_training(df["doc_id"])).collect()}
     assert got == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5}
+
+
+class Plain:
+    """Interpolated Kneser-Ney over strings, by the textbook: dictionaries of n-grams, one probability at a time."""
+
+    def __init__(self, words, order, size):
+        self.order, self.size = order, size
+        raw = [Counter() for _ in range(order + 1)]
+        for w, times in words.items():
+            s = f" {w} "
+            for i in range(1, len(s)):
+                for k in range(1, order + 1):
+                    if i - k + 1 >= 0:
+                        raw[k][s[i - k + 1 : i + 1]] += times
+        opening = {f" {w} "[:k] for w in words for k in range(2, order + 1)}
+        self.count = raw
+        for k in range(1, order):
+            before = Counter(g[1:] for g in raw[k + 1])
+            self.count[k] = {g: n if g in opening or g not in before else before[g] for g, n in raw[k].items()}
+        self.discount = [0.0]
+        for k in range(1, order + 1):
+            n1, n2 = (sum(n == m for n in self.count[k].values()) for m in (1, 2))
+            self.discount.append(min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5)))
+
+    def p(self, context, c, k):
+        if not k:
+            return 1 / self.size
+        d, same = self.discount[k], {g: n for g, n in self.count[k].items() if g[:-1] == context[len(context) - k + 1 :]}
+        lower = self.p(context, c, k - 1)
+        if not same:
+            return lower
+        total = sum(same.values())
+        own = same.get(context[len(context) - k + 1 :] + c, 0)
+        return max(own - d, 0) / total + sum(min(n, d) for n in same.values()) / total * lower
+
+    def bits(self, word):
+        s = f" {word} "
+        return sum(-math.log2(self.p(s[:i], s[i], min(self.order, i + 1))) for i in range(1, len(s)))
+
+
+def test_against_dictionaries():
+    rng = np.random.default_rng(8)
+    counts = {}
+    for lang, letters in (("xx", "abcd"), ("yy", "bcdeé")):
+        counts[lang] = Counter("".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(60))
+    model = L.Model.fit(counts)
+    words = [*counts["xx"], *counts["yy"], "zebra", "q", "abab", "dé"]
+    got = model.words(words)
+    for j, lang in enumerate(model.langs):
+        plain = Plain(counts[lang], L.ORDER, model.size)
+        assert np.allclose(got[:, j], [plain.bits(w) for w in words], rtol=1e-4)
+
+
+def test_written_and_read(spark):
+    model = L.Model.fit({"a": Counter({"one": 2}), "b": Counter({"uno": 1})})
+    model.limits = [3.5, float("inf")]
+    again = L.Model.read(model.written(spark))
+    assert again.langs == model.langs and again.limits == model.limits and (again.words(["one", "x"]) == model.words(["one", "x"])).all()
