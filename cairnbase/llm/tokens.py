@@ -35,7 +35,7 @@ RARE_ASCII = "".join(c for c in RARE_SPACE if c.isascii())
 PAIRS = tuple(p for c in " \t\n\r" for p in (f" {c}", f"{c} "))
 #: Texts are encoded together up to so many characters.
 GROUP_CHARS = 3_000_000
-#: Pieces whose ids a worker keeps: the first that it meets, among which are the frequent ones.
+#: Pieces whose ids a worker keeps: the first that it meets, among which are the frequent ones. About 220 bytes each.
 CACHE = 500_000
 
 
@@ -182,15 +182,20 @@ class Encoder:
     _made: dict[str, Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """The worker's own encoder, kept from task to task."""
+    def of(cls, path: str, kept: int | None = None) -> Encoder:
+        """The worker's own encoder, kept from task to task, with at most ``kept`` pieces (None: CACHE)."""
         if path not in cls._made:
             cls._made[path] = cls(path)
-        return cls._made[path]
+        made = cls._made[path]
+        made.kept = CACHE if kept is None else kept
+        if len(made.cache) > made.kept:
+            made.cache.clear()
+        return made
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.kept = CACHE
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -241,7 +246,7 @@ class Encoder:
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
             new = self._learn([parts[i] for i in gaps])
-            if len(cache) + len(new) <= CACHE:
+            if len(cache) + len(new) <= self.kept:
                 cache.update(new)
             for i in gaps:
                 found[i] = new[parts[i]]
@@ -263,20 +268,21 @@ class Encoder:
         return self.many([text])[0]
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, folder: str | None = None, kept: int = CACHE, group_chars: int = GROUP_CHARS) -> DataFrame:
     """Encode docs (doc_id, text) into files of ascending doc_id; returns the stored manifest (part, path, bytes, n_docs, n_ids).
 
     Documents are range-partitioned by doc_id (null first), one file for each range; equal doc_ids are ordered by text.
     A file is written under a name of its own for each attempt and only the manifest tells which one counts, so a
     lost executor or a second attempt does no harm. A null text is empty, so it has the end id alone; rows that repeat a
     doc_id, and rows without one, are documents of their own. Other columns are ignored; an empty table gives no file.
+    ``kept`` pieces and ``group_chars`` characters bound what a worker holds and cost time alone: the ids are the same.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-ids")
     n = shuffle_partitions(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, sink = Encoder.of(tokenizer_path), None, None
+        encoder, writer, sink = Encoder.of(tokenizer_path, kept), None, None
         part = TaskContext.get().partitionId()
         fs, root = filesystem(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
@@ -288,7 +294,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
                 sink = fs.open_output_stream(f"{root}/{name}")
                 writer = Writer(sink, vocabulary_bits(max(encoder.size, (end_id or 0) + 1)))
             doc_ids = iter(batch.column("doc_id").to_pylist())
-            for texts in in_groups(batch.column("text")):
+            for texts in in_groups(batch.column("text"), group_chars):
                 for ids in encoder.many(texts):
                     writer.add(np.append(ids, np.uint32(end_id)) if end_id is not None else ids, next(doc_ids))
         if writer is None:

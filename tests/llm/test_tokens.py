@@ -49,6 +49,15 @@ def test_encoder_equals_library(text):
     assert e(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kept", [0, 3, 100])
+def test_few_kept_pieces_give_the_same_ids(kept):
+    T.Encoder.of(PATH).many(["filled before by some other words than these"])
+    e = T.Encoder.of(PATH, kept)
+    for texts in (["one two three four", "two three"], ["four five one", "six"], ["one two three four", "seven one"]):
+        assert [x.tolist() for x in e.many(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(e.cache) <= kept
+
+
 def test_files(spark):
     texts = ["one two three", None, "", "one two three", "x " * 30000, "é 漢 <|endoftext|> y"]
     ids = [5, 3, None, 5, 2**40, 1]
