@@ -241,7 +241,7 @@ class Encoder:
         lists = pc.split_pattern(pa.array([texts[i] for i in split], pa.large_string()), " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
-        index, parts, cache = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist(), self.cache
+        index, parts, cache = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.cache
         found = list(map(cache.get, parts))
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
