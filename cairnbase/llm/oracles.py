@@ -39,4 +39,13 @@ SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(item_start AS
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY window_matched DESC, matched DESC, doc_start) AS rn FROM ok) WHERE rn = 1"""
 
 
-ORACLES = {"op1_decontaminate": _leaks(), "op4_near_duplicates": _NEAR, "op8_warc": _WARC}
+_FIM = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('7:', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+  u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM d),
+  k AS (SELECT *, len(u) AS n, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 AS plain FROM u),
+  c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM k),
+  p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN h[4] % 100 < 50 THEN concat('<S>', suf, '<P>', pre, '<M>', mid) ELSE concat('<P>', pre, '<S>', suf, '<M>', mid) END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES = {"op13_fill_in_middle": _FIM, "op1_decontaminate": _leaks(), "op4_near_duplicates": _NEAR, "op8_warc": _WARC}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, html, langid, media, mixing, neardup, oracles, pii, repeats, tokens, warc
+from . import decontam, fim, html, langid, media, mixing, neardup, oracles, packing, pii, repeats, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(manifest)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", fim.restored_sha256(F.col("output"), F.col("form")).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -69,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_personal_data": op9_personal_data,
     "op10_token_files": op10_token_files,
+    "op11_packing": op11_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 #: The others have models, seeded draws, codecs or token ids in them; tests/llm holds those against brute-force versions.
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
