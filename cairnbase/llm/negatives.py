@@ -244,9 +244,9 @@ class Search:
         self.highs, self.marks = _ints(row["highs"], n, -1), _ints(row["marks"], n, -1)
         self.floors = _ints(row["lows"], n, -1).copy()  # rises to the worst of the best once there are ``top``
         self.open = self.floors <= self.highs
-        wide = self.floors.shape[1]
-        self.found = {k: np.zeros(0, np.int64) for k in ("slot", "score", "least", "cid", "count")} | {"ids": np.zeros((0, keep), np.int64)}
-        self.wide, self.scored = wide, 0
+        self.wide, self.scored = self.floors.shape[1], 0
+        empty = {k: np.zeros(0, np.int64) for k in ("slot", "score", "least", "count")} | {"ids": np.zeros((0, keep), np.int64)}
+        self.found = [empty] * len(self.rows.levels[-1].starts)  # for each leaf
 
     def meet(self, other: Rows) -> None:
         """Search one block of candidates, down both trees level by level."""
@@ -256,24 +256,34 @@ class Search:
         alive = np.ones((1, 1), bool)
         for depth in range(max(len(mine), len(theirs))):
             a, b = mine[min(depth, len(mine) - 1)], theirs[min(depth, len(theirs) - 1)]
-            for axis, now in enumerate((a, b)):
-                if len(now.starts) > alive.shape[axis]:
-                    alive = np.repeat(alive, 2, axis=axis)[: len(a.starts) if axis == 0 else None, : len(b.starts) if axis == 1 else None]
+            if len(a.starts) > alive.shape[0]:
+                alive = np.repeat(alive, 2, axis=0)[: len(a.starts)]
+            if len(b.starts) > alive.shape[1]:
+                alive = np.repeat(alive, 2, axis=1)[:, : len(b.starts)]
             low, high = interval(a.centers, a.norms, a.radii, b.centers, b.norms, b.radii)
             need, most = np.minimum.reduceat(floor, a.starts), np.maximum.reduceat(ceiling, a.starts)
             alive &= labels_fit(a.least, a.most, b.least, b.most, self.same) & (high >= need[:, None]) & (low <= most[:, None])
             if not alive.any():
                 return
-        parts = [self._leaf(i, np.flatnonzero(np.repeat(row, LEAF)[: len(other.labels)]), other) for i, row in enumerate(alive) if row.any()]
-        self._merge([p for part in parts for p in part], other)
-
-    def _leaf(self, leaf: int, at: np.ndarray, other: Rows) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Slots, candidates and scores that may be among the best of a leaf's anchors."""
-        own = slice(leaf * LEAF, (leaf + 1) * LEAF)
+        for leaf in np.flatnonzero(alive.any(axis=1)):
+            self._leaf(int(leaf), np.flatnonzero(alive[leaf]), high[leaf], other)
+
+    def _leaf(self, leaf: int, todo: np.ndarray, high: np.ndarray, other: Rows) -> None:
+        """Score the leaves of candidates, the greatest bound first; what is found in some rules others out."""
+        own, n = slice(leaf * LEAF, (leaf + 1) * LEAF), len(other.labels)
+        todo, some = todo[np.argsort(-high[todo], kind="stable")], 4
+        while len(todo):
+            at = (todo[:some, None] * LEAF + np.arange(LEAF)).ravel()
+            self._score(own, at[at < n], leaf, other)
+            todo, some = todo[some:], 2 * some
+            need = self.floors[own][self.open[own]]
+            todo = todo[high[todo] >= (need.min() if len(need) else _FAR)]
+
+    def _score(self, own: slice, at: np.ndarray, leaf: int, other: Rows) -> None:
         got = scores(self.rows.vectors[own], other.vectors[at])
         self.scored += got.size
         right = (self.rows.labels[own, None] == other.labels[None, at]) == self.same
-        out = []
+        parts = []
         for j in range(self.wide):
             hit = right & (got >= self.floors[own, j, None]) & (got <= self.highs[own, j, None])
             if hit.shape[1] > 4 * self.top:
@@ -281,26 +291,23 @@ class Search:
                 hit &= got >= worst[:, None]
             i, k = np.nonzero(hit)
             if len(i):
-                out.append(((i + leaf * LEAF) * self.wide + j, at[k], got[i, k]))
-        return out
-
-    def _merge(self, parts: list, other: Rows) -> None:
+                parts.append(((i + own.start) * self.wide + j, at[k], got[i, k]))
         if not parts:
             return
         slot, at, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-        new = {"slot": slot, "score": score, "least": other.ids[at, 0], "cid": other.cids[at], "count": other.count[at], "ids": other.ids[at]}
-        both = {k: np.concatenate([v, new[k]]) for k, v in self.found.items()}
-        order = np.lexsort((both["cid"], both["least"], -both["score"], both["slot"]))
+        new = {"slot": slot, "score": score, "least": other.ids[at, 0], "count": other.count[at], "ids": other.ids[at]}
+        both = {k: np.concatenate([v, new[k]]) for k, v in self.found[leaf].items()}
+        order = np.lexsort((both["least"], -both["score"], both["slot"]))
         slot = both["slot"][order]
         first = np.flatnonzero(np.append(True, np.diff(slot) != 0))
         place = np.arange(len(slot)) - np.repeat(first, np.diff(np.append(first, len(slot))))
-        self.found = {k: v[order[place < self.top]] for k, v in both.items()}
+        self.found[leaf] = {k: v[order[place < self.top]] for k, v in both.items()}
         full = order[place == self.top - 1]
-        at = np.unravel_index(both["slot"][full], self.floors.shape)
-        self.floors[at] = np.maximum(self.floors[at], both["score"][full])
+        slots = np.unravel_index(both["slot"][full], self.floors.shape)
+        self.floors[slots] = np.maximum(self.floors[slots], both["score"][full])
 
     def result(self) -> pa.RecordBatch:
-        found = self.found
+        found = {k: np.concatenate([f[k] for f in self.found]) for k in self.found[0]}
         i, j = np.divmod(found["slot"], self.wide)
         ids = [row[:c] for row, c in zip(found["ids"].tolist(), found["count"].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(self.rows.cids[i]), pa.array(self.marks[i, j]), pa.array(found["score"]), pa.array(ids, pa.list_(pa.int64()))], names=["gid", "mark", "score", "ids"])
