@@ -31,6 +31,8 @@ SAMPLE = 4096
 CELLS, PARTS = 1024, 64
 #: Expected classes of a candidate block and of an anchor block; blocks of a lane; rows of a leaf.
 BLOCK, ANCHORS, LANE, LEAF = 1024, 512, 16, 32
+#: A gap in the distances is wide if it is so many times the mean gap.
+GAP = 16
 #: Blocks in a record batch, some hundred kB each.
 BATCH_BLOCKS = 16
 _FAR = np.int64(1) << np.int64(62)
@@ -50,22 +52,29 @@ def quantized(embeddings: DataFrame, scale: int = 256) -> DataFrame:
 # ---- trees -----------------------------------------------------------------------------------------------------------
 
 
-def tree_order(vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Rows in the order of a tree: by label, then halved at the widest component down to leaves."""
+def tree_order(vectors: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of a tree, and where its leaves start: by label, then by distance from an outlying row, at a wide gap or in the
+    middle, down to LEAF rows.
+    """
     out, first = [], np.argsort(labels, kind="stable")
     cuts = np.flatnonzero(np.diff(labels[first])) + 1
-    todo = list(reversed(np.split(first, cuts)))
+    todo = [rows for rows in reversed(np.split(first, cuts)) if len(rows)]
     while todo:
         rows = todo.pop()
         if len(rows) <= LEAF:
             out.append(rows)
             continue
-        own = vectors[rows]
-        along = own[:, own.var(axis=0).argmax()]
-        half = -(-(len(rows) // 2) // LEAF) * LEAF
-        order = np.argpartition(along, half)
-        todo += [rows[order[half:]], rows[order[:half]]]
-    return np.concatenate(out) if out else first
+        own = vectors[rows].astype(np.float64)
+        far = own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+        away = np.sqrt(((own - far) ** 2).sum(axis=1))
+        order = np.argsort(away, kind="stable")
+        edge, gaps = max(1, len(rows) // 16), np.diff(away[order])
+        cut = edge + int(gaps[edge - 1 : len(rows) - edge].argmax())  # a sixteenth on either side at least, which bounds the depth
+        if gaps[cut - 1] * len(rows) < GAP * (away.max() - away.min()):
+            cut = len(rows) // 2
+        todo += [rows[order[cut:]], rows[order[:cut]]]
+    size = np.array([len(x) for x in out], np.int64)
+    return np.concatenate([first[:0], *out]), np.cumsum(size) - size
 
 
 @dataclass
@@ -80,17 +89,15 @@ class Level:
     most: np.ndarray
 
 
-def levels_of(vectors: np.ndarray, labels: np.ndarray) -> list[Level]:
-    """The levels of the tree over rows in tree order, from the root to leaves of LEAF rows."""
+def levels_of(vectors: np.ndarray, labels: np.ndarray, leaves: np.ndarray) -> list[Level]:
+    """The levels of the tree over rows in tree order, from the root to the leaves, each node over two of the next level."""
     n, out = len(vectors), []
-    stride = LEAF << max(0, (-(-n // LEAF) - 1).bit_length())
-    while stride >= LEAF:
-        starts = np.arange(0, n, stride)
+    for up in reversed(range((len(leaves) - 1).bit_length() + 1)):
+        starts = leaves[:: 1 << up]
         size = np.diff(np.append(starts, n))
         centers = np.add.reduceat(vectors, starts, axis=0) / size[:, None]
         away = np.sqrt(((vectors - np.repeat(centers, size, axis=0)) ** 2).sum(axis=1))
         out.append(Level(starts, centers, np.sqrt((centers**2).sum(axis=1)), np.maximum.reduceat(away, starts), np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)))
-        stride //= 2
     return out
 
 
@@ -187,7 +194,7 @@ def _route(classes: DataFrame, router: Router, dims: int) -> DataFrame:
     return classes.select("cid", "label", F.pmod(F.xxhash64("label"), F.lit(PARTS)).alias("part"), "q", "ids").mapInArrow(lean(route), "cid long, label long, part long, cell long, far double, vector binary, ids array<long>")
 
 
-_BLOCK = "part long, cell long, split long, n long, cids binary, labels binary, vectors binary, ids binary, lows binary, highs binary, marks binary"
+_BLOCK = "part long, cell long, split long, n long, cids binary, labels binary, vectors binary, ids binary, lows binary, highs binary, marks binary, leaves binary"
 
 
 def _blocks(rows: DataFrame, keep: int) -> DataFrame:
@@ -198,7 +205,7 @@ def _blocks(rows: DataFrame, keep: int) -> DataFrame:
         table = table.combine_chunks()
         cells = [_unpacked(v) for v in table.column("vector").to_pylist()]
         vectors, labels = np.stack(cells), table.column("label").to_numpy()
-        order = tree_order(vectors, labels)
+        order, leaves = tree_order(vectors, labels)
         ids = np.full((len(order), keep), -1, np.int64)
         held = table.column("ids").to_pylist()
         for i, at in enumerate(order.tolist()):
@@ -212,8 +219,8 @@ def _blocks(rows: DataFrame, keep: int) -> DataFrame:
             for i, at in enumerate(order.tolist()):
                 for j, want in enumerate(wants[at]):
                     marks[i, j], lows[i, j], highs[i, j] = want["mark"], want["low"], want["high"]
-        data = [table.column("cid").to_numpy()[order].tobytes(), labels[order].tobytes(), _packed(vectors[order]), np.column_stack([count, ids]).tobytes(), lows.tobytes(), highs.tobytes(), marks.tobytes()]
-        names = ["part", "cell", "split", "n", "cids", "labels", "vectors", "ids", "lows", "highs", "marks"]
+        data = [table.column("cid").to_numpy()[order].tobytes(), labels[order].tobytes(), _packed(vectors[order]), np.column_stack([count, ids]).tobytes(), lows.tobytes(), highs.tobytes(), marks.tobytes(), leaves.tobytes()]
+        names = ["part", "cell", "split", "n", "cids", "labels", "vectors", "ids", "lows", "highs", "marks", "leaves"]
         return pa.table([[x.as_py()] for x in key] + [[len(order)]] + [[x] for x in data], names=names)
 
     return rows.groupBy("part", "cell", "split").applyInArrow(block, _BLOCK)
@@ -232,7 +239,9 @@ class Rows:
         self.vectors = _unpacked(row["vectors"]).reshape(n, -1)
         ids = _ints(row["ids"], n, keep + 1)
         self.count, self.ids = ids[:, 0], ids[:, 1:]
-        self.levels = levels_of(self.vectors.astype(np.float64), self.labels)
+        self.leaves = _ints(row["leaves"], -1)
+        self.leaf = np.repeat(np.arange(len(self.leaves)), np.diff(np.append(self.leaves, n)))
+        self.levels = levels_of(self.vectors.astype(np.float64), self.labels, self.leaves)
 
 
 class Search:
@@ -246,7 +255,7 @@ class Search:
         self.open = self.floors <= self.highs
         self.wide, self.scored = self.floors.shape[1], 0
         empty = {k: np.zeros(0, np.int64) for k in ("slot", "score", "least", "count")} | {"ids": np.zeros((0, keep), np.int64)}
-        self.found = [empty] * len(self.rows.levels[-1].starts)  # for each leaf
+        self.found = [empty] * len(self.rows.leaves)  # for each leaf
 
     def meet(self, other: Rows) -> None:
         """Search one block of candidates, down both trees level by level."""
@@ -270,11 +279,12 @@ class Search:
 
     def _leaf(self, leaf: int, todo: np.ndarray, high: np.ndarray, other: Rows) -> None:
         """Score the leaves of candidates, the greatest bound first; what is found in some rules others out."""
-        own, n = slice(leaf * LEAF, (leaf + 1) * LEAF), len(other.labels)
+        own = slice(*np.append(self.rows.leaves, len(self.rows.labels))[leaf : leaf + 2].tolist())
         todo, some = todo[np.argsort(-high[todo], kind="stable")], 4
         while len(todo):
-            at = (todo[:some, None] * LEAF + np.arange(LEAF)).ravel()
-            self._score(own, at[at < n], leaf, other)
+            taken = np.zeros(len(other.leaves), bool)
+            taken[todo[:some]] = True
+            self._score(own, np.flatnonzero(taken[other.leaf]), leaf, other)
             todo, some = todo[some:], 2 * some
             need = self.floors[own][self.open[own]]
             todo = todo[high[todo] >= (need.min() if len(need) else _FAR)]
@@ -375,7 +385,7 @@ def _search(index: Index, anchors: DataFrame, top: int, same: bool, name: str) -
 
     with _batches(spark, BATCH_BLOCKS):
         pairs = anchors.mapInArrow(lean(plan), "name string, part long, cell long, turn double").join(index.blocks, ["part", "cell"])
-        fields = ["n", "cids", "labels", "vectors", "ids", "lows", "highs", "marks"]
+        fields = ["n", "cids", "labels", "vectors", "ids", "lows", "highs", "marks", "leaves"]
         met = pairs.select("name", F.pmod(F.xxhash64("part", "cell", "split"), F.lit(lanes)).alias("lane"), F.lit(1).alias("kind"), "turn", *fields)
         first = anchors.select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"), F.lit(0).alias("kind"), F.lit(0.0).alias("turn"), *fields)
         dealt = first.unionByName(met).repartition(max(2, shuffle_partitions(spark)), "name", "lane").sortWithinPartitions("name", "lane", "kind", "turn")

@@ -82,7 +82,7 @@ def test_quantized(spark):
 def test_intervals_hold_every_pair():
     rng = np.random.default_rng(6)
     x, y = rng.normal(size=(70, 5)) * 50, rng.normal(size=(130, 5)) * 50
-    a, b = N.levels_of(x, np.zeros(70, int)), N.levels_of(y, np.zeros(130, int))
+    a, b = N.levels_of(x, np.zeros(70, int), np.arange(0, 70, 9)), N.levels_of(y, np.zeros(130, int), np.arange(0, 130, 20))
     for p in a:
         for q in b:
             low, high = N.interval(p.centers, p.norms, p.radii, q.centers, q.norms, q.radii)
@@ -92,11 +92,11 @@ def test_intervals_hold_every_pair():
 
 
 def _row(cids, labels, vectors, low=-N._FAR, high=N._FAR):
-    order = N.tree_order(vectors, labels)
+    order, leaves = N.tree_order(vectors, labels)
     n = len(order)
     held = np.column_stack([np.ones(n, np.int64), cids[order], np.zeros((n, 5), np.int64)])
     one = lambda v: np.full((n, 1), v, np.int64).tobytes()
-    return {"name": "0", "n": n, "cids": cids[order].tobytes(), "labels": labels[order].tobytes(), "vectors": N._packed(vectors[order]), "ids": held.tobytes(), "lows": one(low), "highs": one(high), "marks": one(0)}
+    return {"name": "0", "n": n, "cids": cids[order].tobytes(), "labels": labels[order].tobytes(), "vectors": N._packed(vectors[order]), "ids": held.tobytes(), "lows": one(low), "highs": one(high), "marks": one(0), "leaves": leaves.tobytes()}
 
 
 def test_groups_are_pruned_at_once():
