@@ -22,6 +22,8 @@ from .common import fresh_names, stored, word_count
 
 #: A group of equally long documents is ranked in so many hash slices, of which only one needs a sort.
 SLICES = 64
+#: Bounds on one round of the programme: words, and words times parts.
+ROOM, WORK = 1 << 25, 1 << 31
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
@@ -52,13 +54,40 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return taken
 
 
+def residue_gap(lengths: list[int], counts: list[int], budget: int) -> int:
+    """A number of words that no choice of documents can come nearer to budget than, from below.
+
+    Modulo a common divisor of the frequent lengths only the others move a sum, so few residues may be reachable. The
+    divisors are those of the lengths taken in order of their counts, each of which divides the one before.
+    """
+    by_count, divisors, now = sorted(range(len(lengths)), key=lambda i: -counts[i]), [], 0
+    for i in by_count:
+        now = math.gcd(now, lengths[i])
+        if now > 1 and now not in divisors:
+            divisors.append(now)
+    gap = 0
+    for m in divisors:
+        reached = np.zeros(m, bool)
+        reached[0] = True
+        for i in by_count:
+            step, left, part = lengths[i] % m, min(counts[i], m - 1), 1
+            while step and left and not reached.all():
+                part = min(part, left)
+                left -= part
+                reached |= np.roll(reached, step * part % m)
+                part *= 2
+        below = np.flatnonzero(reached[(budget - np.arange(m)) % m])
+        gap = max(gap, int(below[0]))
+    return gap
+
+
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their words come as near to budget, from below, as can be.
+    """How many documents of each length to take so that their words come near to budget from below, as near as can be.
 
-    A proportional part of each length, then the longest that fit; then a few documents of some lengths are given back
-    and the programme decides about them and as many more. The rounds take in more lengths and more documents until
-    the budget is met, or all lengths and twice as many documents as the longest has words are in, by which the best
-    is found: of more, some that are given back would have the same sum as some that are added.
+    A proportional part of each length, then the longest that fit and exchanges; then documents of some lengths, of so many
+    words each, are given back and the programme decides about them and as many more. The rounds take in more lengths and more words
+    until the rest is residue_gap(), or all documents are in, by either of which the best is found, or until the next
+    round would take more than ROOM words or WORK steps, which bounds memory (5 bytes a word) and time.
     """
     unit = math.gcd(*[n for n, c in zip(lengths, counts, strict=True) if n > 0 and c > 0]) or 1
     steps = [n // unit for n in lengths]
@@ -73,20 +102,27 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         more = min(counts[i] - taken[i], left // steps[i])
         taken[i] += more
         left -= more * steps[i]
-    enough = min(2 * steps[order[-1]], max(counts[i] for i in order))
-    some, each = 8, 1
-    while left:
+    # documents exchanged for the next longer ones fill what is left in small steps, however many they are
+    for i, j in sorted(zip(order, order[1:], strict=False), key=lambda x: steps[x[0]] - steps[x[1]]):
+        more = min(taken[i], counts[j] - taken[j], left // (steps[j] - steps[i])) if steps[j] > steps[i] else 0
+        taken[i], taken[j], left = taken[i] - more, taken[j] + more, left - more * (steps[j] - steps[i])
+    gap = residue_gap([steps[i] for i in order], [counts[i] for i in order], budget) if left else 0
+    some, words = 8, steps[order[-1]]
+    while left > gap:
         used = order if some >= len(order) else [order[j * (len(order) - 1) // (some - 1)] for j in range(some)]
-        back = [min(taken[i], each) for i in used]
+        back = [min(taken[i], max(1, words // steps[i])) for i in used]
+        more = [min(counts[i] - taken[i], max(1, words // steps[i])) for i in used]
         room = left + sum(b * steps[i] for b, i in zip(back, used, strict=True))
-        again = knapsack([steps[i] for i in used], [b + min(counts[i] - taken[i], each) for b, i in zip(back, used, strict=True)], room)
+        if room > ROOM or room * sum((b + m).bit_length() for b, m in zip(back, more, strict=True)) > WORK:
+            break
+        again = knapsack([steps[i] for i in used], [b + m for b, m in zip(back, more, strict=True)], room)
         for i, b, n in zip(used, back, again, strict=True):
             taken[i] += n - b
             room -= n * steps[i]
         left = room
-        if some >= len(order) and each >= enough:
+        if len(used) == len(order) and all(b + m == counts[i] for b, m, i in zip(back, more, used, strict=True)):
             break
-        some, each = some * 2, each * 2
+        some, words = some * 2, words * 2
     return taken
 
 

@@ -1,4 +1,6 @@
 import itertools
+import time
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -51,6 +53,30 @@ def test_fit_is_best_for_long_documents():
     assert sum(a * b for a, b in zip(lengths, M.fit_budget(lengths, counts, budget), strict=True)) == budget
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 30)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.integers(0, 5000))
+def test_no_sum_is_nearer_than_the_residue_gap(items, budget):
+    lengths, counts = map(list, zip(*items, strict=True))
+    assert budget - reachable(lengths, counts, budget) >= M.residue_gap(lengths, counts, budget)
+
+
+def test_fit_has_bounded_work():
+    """Budgets that no sum meets, or only one far from a proportional choice: in parts of a second and few MB."""
+    rng = np.random.default_rng(5)
+    sevens = [7 * int(x) for x in rng.choice(np.arange(10, 2800), 20, replace=False)]
+    got = lambda lengths, counts, budget: sum(a * b for a, b in zip(lengths, M.fit_budget(lengths, counts, budget), strict=True))
+    tracemalloc.start()
+    began = time.perf_counter()
+    for rest in range(7):  # modulo 7 only 0 and 20000 % 7 = 1 can be reached
+        budget = sum(sevens) * 500 // 7 * 7 + rest
+        assert got([*sevens, 20_000], [1000] * 20 + [1], budget) == budget - max(0, rest - 1)
+    assert got([19_999, 20_000], [100_000, 100_000], 1_234_567_891) == 1_234_567_891
+    budget = 50_000_003  # modulo 512 only multiples of 777, three at most
+    assert got([512, 1024, 2048, 777], [100_000, 50_000, 20_000, 3], budget) == budget - min((budget - 777 * k) % 512 for k in range(4))
+    assert time.perf_counter() - began < 20 and tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
 def rule(sizes, share=1.5, cap=2.0):
     """Targets by resharing the excess until none is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
