@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, lean, scratch
+from .common import BATCH_ROWS, lean, scratch, stored
 from .tokens import CACHE, GROUP_CHARS, Encoder, in_groups
 
 PIECES = "doc_id long, doc_tokens long, start long, length long, ids binary, part long, place long"
@@ -94,7 +94,8 @@ def read_sequences(spark, folder: str) -> DataFrame:
     """The sequences of a folder: doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
 
     sequence_id numbers the sequences without gaps, the longest bucket first, and in a bucket by written part and place in it;
-    offset is 0, as a sequence holds one piece. The counts that number them are a row for each part and length.
+    offset is 0, as a sequence holds one piece. The counts that number them are a row for each part and length, and stored,
+    so that Spark knows their size when it plans the join: while it is small, the pieces are not shuffled.
     """
     fields = [field for field in PIECES.split(", ") if not field.startswith("length ")]
     pieces = spark.read.schema(", ".join([*fields, "length long"])).parquet(folder)
@@ -104,7 +105,7 @@ def read_sequences(spark, folder: str) -> DataFrame:
     buckets = buckets.select("length", F.coalesce(F.sum("bucket").over(longer), F.lit(0)).alias("first"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(buckets, "length")
-    bases = parts.select("length", "part", (F.col("first") + F.col("before")).alias("base"))
+    bases = stored(parts.select("length", "part", (F.col("first") + F.col("before")).alias("base")), "sequence-bases")
     return pieces.join(bases, ["length", "part"]).select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
