@@ -19,17 +19,18 @@ def section_bounds(toc: DataFrame, file: str = "file_id", total: str = "total_pa
     """Adds parent_ord and page_end to outline entries (file, ord, level, page, total).
 
     The parent is the nearest entry before with a smaller level; a section ends on the page before the next entry of
-    the same or a smaller level, or on the last page. One window over the file for each level that occurs, which carry
-    one entry each; no self-join, and no list of entries in a row.
+    the same or a smaller level, or on the last page. Two windows over the file, one from its start and one from its end,
+    each of which carries the nearest entry of every level along: running frames, so the work is linear in the entries.
     """
-    here = Window.partitionBy(file).orderBy("ord")
-    before, after = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(1, Window.unboundedFollowing)
+    here = Window.partitionBy(file)
+    before = here.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    after = here.orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted(r[0] for r in toc.select("level").distinct().collect() if r[0] is not None)  # a handful
     if not levels:
         return toc.withColumns({"parent_ord": F.lit(None).cast(toc.schema["ord"].dataType), "page_end": F.col(total)})
     entry = F.struct("ord", "page")
     near = {f"_p{k}": F.last(F.when(F.col("level") == n, F.col("ord")), ignorenulls=True).over(before) for k, n in enumerate(levels)}
-    near |= {f"_n{k}": F.first(F.when(F.col("level") == n, entry), ignorenulls=True).over(after) for k, n in enumerate(levels)}
+    near |= {f"_n{k}": F.last(F.when(F.col("level") == n, entry), ignorenulls=True).over(after) for k, n in enumerate(levels)}
     seen = toc.withColumns(near)
     parent = F.array_max(F.array(*[F.when(F.col("level") > n, F.col(f"_p{k}")) for k, n in enumerate(levels)]))
     following = F.array_min(F.array(*[F.when(F.col("level") >= n, F.col(f"_n{k}")) for k, n in enumerate(levels)]))
@@ -106,13 +107,18 @@ def body_size(lines: DataFrame, file: str = "file_id") -> DataFrame:
     return sizes.groupBy(file).agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("body"))
 
 
-def running_lines(lines: DataFrame, pages: int, file: str = "file_id") -> DataFrame:
-    """Texts of at most 120 characters on max(3, a tenth) of the pages: headers and footers."""
-    return lines.where(F.length("text") <= 120).groupBy(file, "text").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= max(3, pages // 10))
+def running_lines(lines: DataFrame, pages: int | str, file: str = "file_id") -> DataFrame:
+    """Texts of at most 120 characters on max(3, a tenth) of the pages: headers and footers.
+
+    ``pages`` is the number of pages, or the column of lines that has it for each file.
+    """
+    total = F.max(F.col(pages) if isinstance(pages, str) else F.lit(pages))
+    found = lines.where(F.length("text") <= 120).groupBy(file, "text").agg(F.count_distinct("page").alias("pages"), total.alias("_total"))
+    return found.where(F.col("pages") >= F.greatest(F.lit(3), F.floor(F.col("_total") / 10))).drop("_total")
 
 
-def detect_headings(lines: DataFrame, pages: int, file: str = "file_id") -> DataFrame:
-    """file, ord, level, text, page of the headings among lines (file, ord, page, text, size, bold)."""
+def detect_headings(lines: DataFrame, pages: int | str, file: str = "file_id") -> DataFrame:
+    """file, ord, level, text, page of the headings among lines (file, ord, page, text, size, bold), as running_lines() has pages."""
     from ..functions.text import heading_level
 
     sized = lines.join(body_size(lines, file), file)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import table_queries, text_queries, vector_queries
+from . import pdf_queries, table_queries, text_queries, vector_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **vector_queries.QUERIES, **table_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES, **vector_queries.ORACLES, **table_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **vector_queries.QUERIES, **table_queries.QUERIES, **pdf_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **vector_queries.ORACLES, **table_queries.ORACLES, **pdf_queries.ORACLES}
