@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Vectors of the smaller side that are held in a worker at once.
 BLOCK = 4096
 
@@ -43,32 +48,135 @@ def _blocks(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
     return numbered.groupBy("b").agg(F.collect_list(F.struct("k", "v")).alias("rows"))
 
 
-def pairs_above(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector", block: int = BLOCK) -> DataFrame:
-    """a < b, sim of all pairs with cosine >= threshold: block against block, each product in one matrix call.
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+#: Vectors on which pivots are fitted, drawn by hash, and the most pivots. All vectors are assigned.
+SAMPLE, PIVOTS = 4096, 256
+#: Angles are cut into so many bands for each pivot; room for rounding in angles.
+BANDS, SLACK = 64, 1e-7
+
+
+def fit_pivots(vectors: DataFrame, key: str, vector: str, count: int, rounds: int = 5) -> np.ndarray:
+    """At most ``count`` unit vectors amid a sample of SAMPLE vectors: the farthest one each time, then moved to their means."""
+    drawn = vectors.where(F.exists(vector, lambda x: x != 0)).select(F.xxhash64(F.col(key), F.lit(11)).alias("h"), F.col(key).alias("k"), F.col(vector).alias("v")).orderBy("h", "k").limit(SAMPLE)
+    x = _unit(matrix(drawn.select("v").toArrow().column("v")))
+    if not len(x):
+        return x
+    picked, near = [0], x @ x[0]
+    while len(picked) < min(count, len(x)) and near.min() < 1 - 1e-9:
+        picked.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[picked[-1]])
+    pivots = x[picked]
+    for _ in range(rounds):
+        owner = (x @ pivots.T).argmax(axis=1)
+        means = np.zeros_like(pivots)
+        np.add.at(means, owner, x)
+        moved = np.linalg.norm(means, axis=1) > 1e-9
+        pivots = np.where(moved[:, None], _unit(means), pivots)
+    return pivots
+
+
+def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Angles between the rows of unit vectors x and y."""
+    return np.arccos(np.clip(x @ y.T, -1.0, 1.0))
 
-    A pair of blocks is one task's work, so that neither side is ever held whole; every pair is compared.
+
+def _dealt(vectors: DataFrame, key: str, vector: str, pivots: np.ndarray, reach: float) -> DataFrame:
+    """k, v (unit vector, packed), home, part, band: each vector in the part of its nearest pivot, its home, and as a guest
+    in every other part whose home vectors can be within ``reach`` of it.
+
+    A vector y within reach of x is no farther from its own pivot q than from x's pivot p, so that by the triangle
+    inequality x is at most 2 * reach farther from q than from p.
     """
-    blocks = _blocks(vectors, key, vector, block)
-    left = blocks.select(F.col("b").alias("i"), F.col("rows").alias("x"))
-    n = blocks.agg(F.max("b")).collect()[0][0]
-    if n is None:
-        return vectors.sparkSession.createDataFrame([], "a long, b long, sim double")
-    # each block meets those from its own number on: the partner numbers are spelled out, so this is an equi-join
-    asked = left.select("i", "x", F.explode(F.sequence(F.col("i"), F.lit(n))).alias("j"))
-    met = asked.join(blocks.select(F.col("b").alias("j"), F.col("rows").alias("y")), "j").repartition(F.col("i"), F.col("j"))
 
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for row in part.itertuples():
-                ki, kj = (np.array([r["k"] for r in rows]) for rows in (row.x, row.y))
-                vi, vj = (_unit(np.array([r["v"] for r in rows], float)) for rows in (row.x, row.y))
-                sim = vi @ vj.T
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(matrix(batch.column(1)))
+            far = angles(x, pivots)
+            home = far.argmin(axis=1)
+            row, part = np.nonzero(far <= far[np.arange(len(x)), home][:, None] + 2 * reach + SLACK)
+            packed = [v.tobytes() for v in x]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array([packed[i] for i in row], pa.binary()), pa.array(home[row]), pa.array(part), pa.array((far[row, part] * (BANDS / np.pi)).astype(np.int64))],
+                names=["k", "v", "home", "part", "band"],
+            )
+
+    return vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(deal, "k long, v binary, home long, part long, band long")
+
+
+_PACKED = "part long, band long, split long, ks binary, homes binary, vs binary, low double, high double, own int"
+
+
+def _pack(pivots: np.ndarray):
+    """A function that packs the vectors of a group into one row, with the span of their angles to the part's pivot."""
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        part, band, split = (k.as_py() for k in key)
+        rows = rows.combine_chunks()
+        data = b"".join(rows.column("v").to_pylist())
+        x = np.frombuffer(data).reshape(rows.num_rows, -1)
+        far = angles(x, pivots[part : part + 1])[:, 0]
+        ks, homes = rows.column("k").to_numpy(), rows.column("home").to_numpy()
+        values = [part, band, split, ks.tobytes(), homes.tobytes(), data, float(far.min()), float(far.max()), int((homes == part).any())]
+        return pa.table([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32()), strict=True)], names=[f.split(" ")[0] for f in _PACKED.split(", ")])
+
+    return pack
+
+
+def pairs_above(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector", block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """a < b, sim of all pairs with cosine >= threshold, none missed.
+
+    Vectors go to the part of their nearest pivot, and as guests where the triangle inequality of angles allows a
+    partner; in a part they are packed into blocks by their angle to the pivot, and only blocks whose angles are near
+    enough meet. A pair of blocks is one matrix product. A pair is reported in the part that is the smaller of its two
+    homes. A zero vector has cosine 0 to all; with a threshold of 0 or less nothing can be ruled out, and all blocks meet.
+    Null vectors take no part; keys must be unique and all vectors of one length.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col(vector).isNotNull())
+    n = rows.count()
+    reach = math.acos(min(1.0, max(-1.0, threshold))) if threshold > 0 else math.pi
+    found = fit_pivots(rows, key, vector, min(PIVOTS, pivots or -(-n // block))) if n else np.zeros((0, 0))
+    if not len(found):  # no vectors, or only zeros
+        found = np.zeros((1, len(rows.select(vector).first()[0]) if n else 1))
+        found[0, 0] = 1.0
+    if threshold > 0:
+        rows = rows.where(F.exists(vector, lambda x: x != 0))
+    placed = stored(_dealt(rows, key, vector, found, reach), "vector-parts")
+    sizes = placed.groupBy("part", "band").agg(F.ceil(F.count("*") / block).alias("splits"))  # at most PIVOTS * BANDS rows
+    split = placed.join(F.broadcast(sizes), ["part", "band"]).withColumn("split", F.pmod(F.xxhash64("k"), F.col("splits")))
+    packed = stored(split.select("part", "band", "split", "k", "home", "v").groupBy("part", "band", "split").applyInArrow(_pack(found), _PACKED), "vector-blocks")
+    names = packed.select("part", "band", "split", "low", "high", "own")
+    x, y = (names.select(*[F.col(c).alias(f"{p}_{c}" if c != "part" else c) for c in names.columns]) for p in ("x", "y"))
+    near = (F.col("x_low") - F.col("y_high") <= reach + SLACK) & (F.col("y_low") - F.col("x_high") <= reach + SLACK)
+    once = F.struct("x_band", "x_split") <= F.struct("y_band", "y_split")
+    met = x.join(y, "part").where(near & once & ((F.col("x_own") == 1) | (F.col("y_own") == 1)))
+    side = lambda p: packed.select("part", *[F.col(c).alias(f"{p}_{c}") for c in ("band", "split", "ks", "homes", "vs")])
+    asked = met.select("part", "x_band", "x_split", "y_band", "y_split").join(side("x"), ["part", "x_band", "x_split"]).join(side("y"), ["part", "y_band", "y_split"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                kx, ky, hx, hy = (np.frombuffer(row[c], np.int64) for c in ("x_ks", "y_ks", "x_homes", "y_homes"))
+                sim = np.frombuffer(row["x_vs"]).reshape(len(kx), -1) @ np.frombuffer(row["y_vs"]).reshape(len(ky), -1).T
                 p, q = np.nonzero(sim >= threshold)
-                keep = (ki[p] < kj[q]) if row.i == row.j else (ki[p] != kj[q])
+                one = (row["x_band"], row["x_split"]) == (row["y_band"], row["y_split"])
+                keep = (np.minimum(hx[p], hy[q]) == row["part"]) & ((kx[p] < ky[q]) if one else (kx[p] != ky[q]))
                 p, q = p[keep], q[keep]
-                yield pd.DataFrame({"a": np.minimum(ki[p], kj[q]), "b": np.maximum(ki[p], kj[q]), "sim": sim[p, q]})
-
-    return met.select("i", "j", "x", "y").mapInPandas(compare, "a long, b long, sim double")
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(kx[p], ky[q])), pa.array(np.maximum(kx[p], ky[q])), pa.array(sim[p, q])], names=["a", "b", "sim"])
+
+    before = spark.conf.get(_ROWS)
+    try:  # a row holds two blocks
+        spark.conf.set(_ROWS, "8")
+        return stored(asked.mapInArrow(compare, "a long, b long, sim double"), "vector-pairs")
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str, right_key: str, vector: str = "vector", block: int = BLOCK) -> DataFrame:

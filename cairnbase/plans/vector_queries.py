@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import knn, knn_join, pairs_above
 from ..operators import graph, ranking
+from ..operators.vector_index import VectorIndex
 from ..session import table
 
 THRESHOLD = 0.40
@@ -31,6 +32,18 @@ def knn_prefilter(spark, sf_dir):
     return knn(v, _query(v), 5, "id", where=F.col("label") == 3).select("id", "label", F.round("sim", 4).alias("score"))
 
 
+def knn_index(spark, sf_dir):
+    """Nearest neighbours from a partitioned index, after one label's vectors were replaced by those with an even id."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    v = _vectors(spark, sf_dir).withColumn("owner", F.col("label").cast("long"))
+    index = VectorIndex.create(v, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", "id", "owner", pivots=16)
+    index.replace(v.where("owner = 3 and id % 2 = 0"))
+    return index.knn(_query(v), 40).select("id", "label", F.round("sim", 4).alias("score"))
+
+
 def similar_pairs(spark, sf_dir):
     return pairs_above(_vectors(spark, sf_dir), THRESHOLD).select("a", "b", F.round("sim", 4).alias("sim"))
 
@@ -127,11 +140,12 @@ def _hybrid_sql() -> str:
     SELECT id, round(pool.score, 4) AS score, pool.source FROM pool LEFT JOIN documents ON doc_id = id WHERE text IS NULL OR NOT ({_TOC} OR {_BOIL}) ORDER BY pool.score DESC, id LIMIT 8"""
 
 
-QUERIES = {f.__name__: f for f in (knn_cosine, knn_prefilter, similar_pairs, connected_components, cluster_summary, semantic_links, rrf_fusion, hybrid_search, relevance_floor, rerank_hits, cluster_hits, gallery)}
+QUERIES = {f.__name__: f for f in (knn_cosine, knn_prefilter, knn_index, similar_pairs, connected_components, cluster_summary, semantic_links, rrf_fusion, hybrid_search, relevance_floor, rerank_hits, cluster_hits, gallery)}
 
 ORACLES = {
     "knn_cosine": f"SELECT id, round(sim, 4) AS score FROM ({_SIM}) ORDER BY sim DESC, id LIMIT 10",
     "knn_prefilter": f"SELECT id, label, round(sim, 4) AS score FROM ({_SIM}) WHERE label = 3 ORDER BY sim DESC, id LIMIT 5",
+    "knn_index": f"SELECT id, label, round(sim, 4) AS score FROM ({_SIM}) WHERE label IS DISTINCT FROM 3 OR id % 2 = 0 ORDER BY sim DESC, id LIMIT 40",
     "similar_pairs": f"WITH {_PAIRS} SELECT a, b, round(sim, 4) AS sim FROM edges",
     "connected_components": f"{_CC} SELECT id, label FROM cc",
     "cluster_summary": f"{_CC}, s AS (SELECT label, count(*) AS n FROM cc GROUP BY label) SELECT CAST(sum(n) AS BIGINT) AS items, count(*) AS clusters, count_if(n > 1) AS groups, CAST(sum(n) - count(*) AS BIGINT) AS redundant FROM s",
