@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,17 +61,26 @@ def band_summary(scored: DataFrame, sample: int = 6) -> DataFrame:
 
 
 def comentions(mentions: DataFrame, cap: int = DEFAULTS.comention_cap) -> DataFrame:
-    """entity_id, other_id, rn: entities that share a chunk; for those with none, that share a file; at most cap each, by first mention."""
+    """entity_id, other_id, rn: entities that share a chunk; for those with none, that share a file; at most cap each, by first mention.
+
+    Of a chunk only the cap + 1 entities that it mentions first can be among the first cap of any entity: whatever
+    comes later in it has cap others before it. So each mention meets a short list, and never all of its chunk.
+    """
     m = mentions.select("id", "entity_id", "chunk_id", "file_id")
 
     def beside(key: str, only: DataFrame | None = None) -> DataFrame:
-        a = m.select("entity_id", key).where(F.col(key).isNotNull()).distinct()
+        firsts = m.where(F.col(key).isNotNull()).groupBy(key, "entity_id").agg(F.min("id").alias("id"))
+        order = F.row_number().over(Window.partitionBy(key).orderBy("id", "entity_id"))
+        short = firsts.withColumn("_place", order).where(F.col("_place") <= cap + 1).select(key, F.col("entity_id").alias("other_id"), "id")
+        a = firsts.select("entity_id", key)
         a = a if only is None else a.join(only, "entity_id", "left_anti")
-        b = m.select(F.col("entity_id").alias("other_id"), key, "id")
-        return a.join(b, key).where("entity_id <> other_id").groupBy("entity_id", "other_id").agg(F.min("id").alias("first"))
+        return a.join(short, key).where("entity_id <> other_id").groupBy("entity_id", "other_id").agg(F.min("id").alias("first"))
 
     close = beside("chunk_id")
-    all_ = close.unionByName(beside("file_id", close.select("entity_id").distinct()))
+    # who shares a chunk with no one is known from the chunks with one entity alone, without the pairs
+    alone = m.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"))
+    near = m.join(alone.where("low < high").select("chunk_id"), "chunk_id", "left_semi").select("entity_id").distinct()
+    all_ = close.unionByName(beside("file_id", near))
     rn = F.row_number().over(Window.partitionBy("entity_id").orderBy("first", "other_id"))
     return all_.withColumn("rn", rn).where(F.col("rn") <= cap).select("entity_id", "other_id", "rn")
 
@@ -90,21 +102,62 @@ def provenance(claims: DataFrame, claim_sources: DataFrame, chunks: DataFrame, f
     return claims.select(F.col("id").alias("claim_id")).join(found, "claim_id", "left").select("claim_id", F.array_join(F.coalesce("sources", F.array()), "; ").alias("sources"))
 
 
-def contains_join(chunks: DataFrame, candidates: DataFrame, cap: int = DEFAULTS.provenance_cap) -> DataFrame:
+def _by_automaton(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """chunk_id, needle by one pass over each text with an automaton of all needles, which the caller has measured."""
+    import ahocorasick
+
+    words = [r["needle"] for r in needles.collect()]  # at most NEEDLE_BYTES
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word in sent.value:
+            automaton.add_word(word, word)
+        if sent.value:
+            automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for chunk, text in zip(batch.column("chunk_id").to_pylist(), batch.column("low"), strict=True):
+                hits = {word for _, word in automaton.iter(text.as_py() or "")} if sent.value else set()
+                ids += [chunk] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["chunk_id", "needle"])
+
+    return texts.select(F.col("chunk_id").cast("long").alias("chunk_id"), "low").mapInArrow(scan, "chunk_id long, needle string")
+
+
+def _by_grams(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """chunk_id, needle by the postings of three characters: a needle is looked for where its rarest ones occur."""
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))
+    grams = lambda c: F.array_distinct(runs(c, 3))
+    long, short = needles.where(F.length("needle") >= 3), needles.where(F.length("needle") < 3)
+    posting = texts.where(F.length("low") >= 3).select("chunk_id", F.explode(grams(F.col("low"))).alias("gram"))
+    often = posting.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = long.select("needle", F.explode(grams(F.col("needle"))).alias("gram")).join(often, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = posting.join(rarest, "gram").select("chunk_id", "needle").join(texts, "chunk_id").where(F.col("low").contains(F.col("needle"))).select("chunk_id", "needle")
+    # needles of one or two characters are grams themselves
+    units = F.concat(runs(F.col("low"), 1), runs(F.col("low"), 2))
+    tiny = texts.where(F.length("low") >= 2).select("chunk_id", F.explode(F.array_distinct(units)).alias("needle")).union(texts.where(F.length("low") == 1).select("chunk_id", F.col("low").alias("needle")))
+    return near.union(tiny.join(short, "needle").select("chunk_id", "needle"))
+
+
+#: Needles up to so many bytes in all are sent to the workers as one automaton.
+NEEDLE_BYTES = 1_000_000
+
+
+def contains_join(chunks: DataFrame, candidates: DataFrame, cap: int = DEFAULTS.provenance_cap, needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """candidate_id, chunk_id: chunks whose text contains a candidate's name or an alias, at most cap each in order.
 
-    Chunks and needles meet on the rarest word of the needle first, so that only chunks with that word are searched.
+    Distinct needles are measured: up to needle_bytes an automaton of all of them reads each text once; beyond, needles
+    meet the postings of the texts. Either way no text is compared with every needle.
     """
-    needle = candidates.select(F.col("id").alias("candidate_id"), F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))).alias("needle")).where(F.trim("needle") != "")
-    # a whole inner word of the needle appears as a word of any text that contains it; needles of one or two words search all
-    inner = F.filter(F.split("needle", r"\s+"), lambda w, i: (i > 0) & (i < F.size(F.split("needle", r"\s+")) - 1))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
-    keyed = needle.withColumn("word", F.when(F.size(inner) > 0, longest))
-    texts = chunks.select(F.col("id").alias("chunk_id"), F.lower("text").alias("low"))
-    words = texts.select("chunk_id", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word"))
-    narrow = words.join(keyed.where("word is not null"), "word").select("candidate_id", "chunk_id", "needle").join(texts, "chunk_id")
-    wide = texts.join(F.broadcast(keyed.where("word is null").select("candidate_id", "needle")), F.col("low").contains(F.col("needle")))
-    hits = narrow.where(F.col("low").contains(F.col("needle"))).select("candidate_id", "chunk_id").union(wide.select("candidate_id", "chunk_id")).distinct()
+    none = F.array().cast("array<string>")
+    named = candidates.select(F.col("id").alias("candidate_id"), F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", none)), F.lower))).alias("needle")).where(F.trim("needle") != "")
+    needles = named.select("needle").distinct()
+    texts = chunks.select(F.col("id").alias("chunk_id"), F.lower("text").alias("low")).where("low is not null")
+    small = (needles.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) <= needle_bytes
+    found = _by_automaton(texts, needles) if small else _by_grams(texts, needles)
+    hits = found.join(named, "needle").select("candidate_id", "chunk_id").distinct()
     rn = F.row_number().over(Window.partitionBy("candidate_id").orderBy("chunk_id"))
     return hits.withColumn("rn", rn).where(F.col("rn") <= cap).drop("rn")
 
@@ -176,11 +229,24 @@ def resolve(candidates: DataFrame, entities: DataFrame, s: Settings = DEFAULTS,
 
 
 def best_candidate(unresolved: DataFrame, active: DataFrame, threshold: float = DEFAULTS.dup_jaccard) -> DataFrame:
-    """id, candidate_id, score: for each unresolved entity the active one with the most similar key tokens; ties to the lowest id."""
-    u = unresolved.select("id", F.col("type").alias("ut"), tokens(F.col("norm_key")).alias("t"))
-    a = active.select(F.col("id").alias("candidate_id"), F.col("type").alias("at"), tokens(F.col("norm_key")).alias("s"))
-    met = u.select("id", "ut", "t", F.explode("t").alias("k")).join(a.select("candidate_id", "at", "s", F.explode("s").alias("k")), "k").where(types_compatible(F.col("ut"), F.col("at")) & (F.col("id") != F.col("candidate_id")))
-    scored = met.dropDuplicates(["id", "candidate_id"]).withColumn("score", jaccard(F.col("t"), F.col("s"))).where(F.col("score") >= threshold)
+    """id, candidate_id, score: for each unresolved entity the active one with the most similar key tokens; ties to the lowest id.
+
+    Keys meet on their rarest tokens alone: of n tokens, the first n - ceil(t * n) + 1, one of which any key that is
+    similar enough has among its own.
+    """
+    side = lambda df, name: df.select(F.col("id").alias(name), F.col("type").alias(f"{name}_type"), tokens(F.col("norm_key")).alias(f"{name}_t")).where(F.size(f"{name}_t") > 0)
+    u, a = side(unresolved, "id"), side(active, "candidate_id")
+    each = u.select(F.explode("id_t").alias("token")).union(a.select(F.explode("candidate_id_t").alias("token")))
+    often = each.groupBy("token").agg(F.count("*").alias("f"))
+
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
+        n = F.size(f"{name}_t")
+        ranked = rows.withColumn("token", F.explode(f"{name}_t")).join(often, "token")
+        place = F.row_number().over(Window.partitionBy(name).orderBy("f", "token"))
+        return ranked.withColumn("place", place).where(F.col("place") <= n - F.ceil(n * threshold - 1e-9) + 1).drop("f", "place")
+
+    met = prefix(u, "id").join(prefix(a, "candidate_id"), "token").where(types_compatible(F.col("id_type"), F.col("candidate_id_type")) & (F.col("id") != F.col("candidate_id")))
+    scored = met.dropDuplicates(["id", "candidate_id"]).withColumn("score", jaccard(F.col("id_t"), F.col("candidate_id_t"))).where(F.col("score") >= threshold)
     return scored.groupBy("id").agg(F.max_by(F.struct("candidate_id", "score"), F.struct("score", -F.col("candidate_id"))).alias("b")).select("id", "b.*")
 
 

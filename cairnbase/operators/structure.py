@@ -49,11 +49,20 @@ def page_chapters(pages: DataFrame, chapters: DataFrame, file: str = "file_id")
     return p.unionByName(c).withColumn("chapter_id", last).where("_kind = 1").select(file, "page", "chapter_id")
 
 
+#: Pages of a bucket of the range join.
+BUCKET = 64
+
+
 def figures_of(chapters: DataFrame, figures: DataFrame, file: str = "file_id") -> DataFrame:
-    """Range join: figures whose page lies in a chapter's pages."""
-    f, c = figures.alias("f"), chapters.alias("c")
-    on = (F.col(f"f.{file}") == F.col(f"c.{file}")) & F.col("f.page").between(F.col("c.page_start"), F.col("c.page_end"))
-    return c.join(f, on).select(F.col("c.id").alias("chapter_id"), F.col("f.id").alias("figure_id"), F.col("f.page").alias("page"))
+    """Range join: figures whose page lies in a chapter's pages.
+
+    A chapter stands in every bucket of pages that it touches, a figure in one, so that figures meet only chapters
+    which come near their page.
+    """
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    c = chapters.where("page_start <= page_end").select(file, F.col("id").alias("chapter_id"), "page_start", "page_end", F.explode(F.sequence(bucket("page_start"), bucket("page_end"))).alias("_bucket"))
+    f = figures.select(file, F.col("id").alias("figure_id"), "page", bucket("page").alias("_bucket"))
+    return c.join(f, [file, "_bucket"]).where(F.col("page").between(F.col("page_start"), F.col("page_end"))).select("chapter_id", "figure_id", "page")
 
 
 def top_level(chapters: DataFrame, rounds: int = 64) -> DataFrame:
