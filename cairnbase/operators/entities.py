@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.text import disambiguator, entity_slug, is_pageworthy, merge_key, norm_key, strip_row_label
+from ..functions.text import canonical_display_name, disambiguator, entity_slug, is_pageworthy, merge_key, norm_key, strip_row_label
 from ..functions.vectors import cosine
+from ..session import stored
 
 
 def types_compatible(a: Column, b: Column) -> Column:
@@ -271,12 +272,18 @@ _RICHEST = lambda: F.struct("n_claims", "source_count", -F.col("id"))  # noqa: E
 def collision_plan(entities: DataFrame, claims: DataFrame) -> DataFrame:
     """from_id, into_id, reason: what to do with the entities of each shared slug.
 
-    The survivor has the most claims, then sources, then the lowest id. Others merge (reason null) if their key is the
-    same but for spaces and underscores and their type is compatible; else they are skipped with a reason.
+    The survivor is the first that already has the clean title of the group, if it could merge with the richest; else
+    the richest, which has the most claims, then sources, then the lowest id. Others merge (reason null) if their key
+    is the same but for spaces and underscores and their type is compatible; else they are skipped with a reason.
     """
-    rated = _claim_counts(with_slugs(entities).where("status = 'active'"), claims)
-    best = rated.groupBy("slug").agg(F.max_by(F.struct("id", "norm_key", "type"), _RICHEST()).alias("s"), F.count("*").alias("n")).where("n > 1")
-    others = rated.join(best, "slug").where(F.col("id") != F.col("s.id"))
+    rated = stored(_claim_counts(with_slugs(entities).where("status = 'active'"), claims), "collision-candidates")
+    capitals = F.regexp_count("name", F.lit(r"\p{Lu}"))
+    best = rated.groupBy("slug").agg(F.max_by(F.struct("id", "norm_key", "type"), _RICHEST()).alias("r"), F.max_by("name", F.struct(capitals, -F.col("id"))).alias("spelling"), F.count("*").alias("n")).where("n > 1")
+    met = rated.join(best.select("slug", "r", canonical_display_name(F.array("spelling")).alias("clean")), "slug")
+    alike = lambda other: (merge_key(F.col("norm_key")) == merge_key(F.col(f"{other}.norm_key"))) & types_compatible(F.col("type"), F.col(f"{other}.type"))
+    titled = met.where((F.col("name") == F.col("clean")) & alike("r")).groupBy("slug").agg(F.min_by(F.struct("id", "norm_key", "type"), "id").alias("t"))
+    chosen = best.join(titled, "slug", "left").select("slug", F.coalesce("t", "r").alias("s"))
+    others = rated.join(chosen, "slug").where(F.col("id") != F.col("s.id"))
     reason = F.when(merge_key(F.col("norm_key")) != merge_key(F.col("s.norm_key")), "distinct keys").when(~types_compatible(F.col("type"), F.col("s.type")), "incompatible types")
     return others.select(F.col("id").alias("from_id"), F.col("s.id").alias("into_id"), "slug", reason.alias("reason"))
 
