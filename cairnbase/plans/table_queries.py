@@ -227,6 +227,38 @@ def unmerge_round_trip(spark, sf_dir):
     return _merged_rows(mutate.unmerge_entities(out["entities"], out["claims"], out["mentions"], out["manifest"]))
 
 
+def _kept(spark, sf_dir):
+    """A knowledge base of the parts, every fifth of which has a title of its own capitals, with an empty wiki."""
+    import uuid
+
+    from .. import schema
+    from ..operators.maintenance import Maintenance
+    from ..sources.wiki_repo import WikiRepo
+
+    e = _parts(spark, sf_dir).withColumn("name", F.when(F.col("id") % 5 == 0, F.initcap("name")).otherwise(F.col("name")))
+    full = e.select("id", "name", "type", "norm_key", F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("acronyms"), F.lit(None).cast("string").alias("wiki_path"), "slug", "status", F.col("source_count").cast("int").alias("source_count"))
+    claims = _claims(spark, sf_dir)
+    more = {"text": F.lit("claim").alias("text"), "status": F.lit("active").alias("status")}
+    tables = {n: spark.createDataFrame([], schema.schema(n)) for n in ("wiki_pages", "entity_merges", "claim_sources", "chunks", "files", "vec_entities", "entity_review")}
+    tables |= {"entities": full, "claims": claims.select("*", *[c for n, c in more.items() if n not in claims.columns]), "mentions": _mentions(spark, sf_dir)}
+    return Maintenance(tables, WikiRepo(spark, f"{ensure_checkpoint_dir(spark)}/wiki-{uuid.uuid4().hex}"))
+
+
+def merge_collisions(spark, sf_dir):
+    """Entities after the safe merges of shared slugs, with the page that the wiki has for each."""
+    kept = _kept(spark, sf_dir)
+    kept.merge_collisions()
+    pages = kept.wiki.hashes().select(F.col("path").alias("wiki_path"), F.lit(True).alias("there"))
+    return kept.tables["entities"].join(pages, "wiki_path", "left").select("id", "status", "wiki_path", F.coalesce("there", F.lit(False)).alias("page"))
+
+
+def undo_batch(spark, sf_dir):
+    """The same after the batch was undone by its commit's handle."""
+    kept = _kept(spark, sf_dir)
+    kept.undo(kept.merge_collisions())
+    return kept.tables["entities"].select("id", "name", "status", "wiki_path")
+
+
 def upsert_rows(spark, sf_dir):
     """Nations with new names for those of one region, and one more."""
     n = table(spark, sf_dir, "nation")
@@ -321,10 +353,20 @@ QUERIES = {
     for f in (
         stats, conditional_counts, status_counts, catalog_by_type, claims_per_entity, ledger_latest, pipeline_progress, file_states, resync_plan, image_filter_list, month_filter, prev_next,
         first_per_group, page_asof_chapter, range_join_figures, unsupported_claims, dangling_sources, orphan_entities, comention, provenance, dup_pairs, dup_bands, best_candidates,
-        slug_collisions, collision_plan, disambiguation_plan, relabel_plan, merge_repoint, unmerge_round_trip, upsert_rows, patch_rows, follow_merges, library, related, junk_entities, lint_counts, stream_dedupe, resolve_mentions,
+        slug_collisions, collision_plan, disambiguation_plan, relabel_plan, merge_repoint, unmerge_round_trip, merge_collisions, undo_batch, upsert_rows, patch_rows, follow_merges, library, related, junk_entities, lint_counts, stream_dedupe, resolve_mentions,
     )
 }
 
+_WORDS = "array_to_string(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_HEALED = f"""WITH {_SLUGGED}, titled AS (SELECT *, CASE WHEN id % 5 = 0 THEN {_WORDS.format('name')} ELSE name END AS nm FROM parts),
+  caps AS (SELECT *, length(regexp_replace(nm, '[^A-Z]', '', 'g')) AS k FROM titled),
+  g AS (SELECT slug, count(*) AS n, arg_max(id, (n_claims, source_count, -id)) AS r, arg_max(nm, (k, -id)) AS sp FROM caps GROUP BY slug HAVING count(*) > 1),
+  rich AS (SELECT g.*, {_WORDS.format("replace(sp, '_', ' ')")} AS clean, c.norm_key AS rk, c.type AS rt FROM g JOIN caps c ON c.id = g.r),
+  named AS (SELECT c.slug, min(c.id) AS t FROM caps c JOIN rich USING (slug) WHERE c.nm = clean AND replace(c.norm_key, '_', ' ') = replace(rk, '_', ' ') AND (c.type = rt OR c.type = 'concept' OR rt = 'concept') GROUP BY c.slug),
+  s AS (SELECT slug, coalesce(t, r) AS sid FROM rich LEFT JOIN named USING (slug)),
+  m AS (SELECT c.id, sid FROM caps c JOIN s USING (slug) JOIN caps d ON d.id = sid WHERE c.id <> sid AND replace(c.norm_key, '_', ' ') = replace(d.norm_key, '_', ' ') AND (c.type = d.type OR c.type = 'concept' OR d.type = 'concept')),
+  t AS (SELECT id, true AS hit FROM m UNION SELECT sid, true FROM m)"""
+
 ORACLES = {
     "stats": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "pages", "embeddings", "benchmark", "labels", "conversations", "events")),
     "conditional_counts": f"SELECT count_if(f <> 'png') AS documents, count_if(f = 'png') AS images, count(DISTINCT f) AS formats FROM (SELECT {_FMT} AS f FROM documents)",
@@ -372,6 +414,8 @@ ORACLES = {
     "unmerge_round_trip": """WITH n AS (SELECT l_partkey AS k, count(*) AS c, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1), m AS (SELECT max(p_partkey) AS top FROM part)
         SELECT p_partkey AS id, p_name AS name, 'active' AS status, coalesce(c, 0) AS claims, CASE WHEN p_partkey <= 1 OR (p_partkey % 2 = 0 AND p_partkey = top) THEN p_size ELSE CAST(coalesce(s, 0) AS INT) END AS source_count,
           p_brand || ';' || string_split(p_type, ' ')[-1] AS aliases, substring(p_type, 1, 3) AS acronyms, CASE WHEN p_partkey % 2 = 0 OR p_partkey = 1 THEN 'entities/' || p_partkey || '.md' END AS wiki_path FROM part LEFT JOIN n ON k = p_partkey, m""",
+    "merge_collisions": f"{_HEALED} SELECT id, CASE WHEN id IN (SELECT id FROM m) THEN 'merged_into' ELSE 'active' END AS status, CASE WHEN hit THEN 'entities/' || slug || '.md' END AS wiki_path, coalesce(hit, false) AS page FROM titled LEFT JOIN t USING (id)",
+    "undo_batch": f"{_HEALED} SELECT id, nm AS name, 'active' AS status, CASE WHEN hit THEN 'entities/' || slug || '.md' END AS wiki_path FROM titled LEFT JOIN t USING (id)",
     "upsert_rows": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'NEW', n_regionkey FROM nation WHERE n_nationkey = 0",
     "patch_rows": "SELECT n_nationkey, CASE WHEN n_nationkey < 5 AND n_nationkey % 2 = 0 THEN 'even' ELSE n_name END AS n_name, n_regionkey FROM nation",
     "follow_merges": """WITH RECURSIVE step AS (SELECT c_custkey AS f, CASE WHEN c_custkey % 4 = 0 THEN c_custkey // 2 ELSE c_custkey % 4 END AS t FROM customer WHERE c_custkey > 1), e AS (SELECT * FROM step WHERE f <> t),
