@@ -44,54 +44,105 @@ FURNITURE = frozenset("nav footer aside form menu dialog script style noscript t
 MARKS = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar navigation nav breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices notification alert popup modal newsletter subscribe subscription comment comments disqus respond reply replies share sharing social related recommended widget toolbar pagination pager login signup".split()
 )
+#: Parts of compound names (between hyphens or underscores, at either end) that name furniture; MARKS with other meanings are not among them.
+PARTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo sidebar navbar breadcrumb breadcrumbs cookie cookies consent newsletter comment comments disqus pagination".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "drop", "chars", "link_chars", "tags", "link_tags", "density", "total", "block")
+    __slots__ = ("name", "parent", "children", "drop", "chars", "link_chars", "tags", "link_tags", "density", "total", "block", "weak")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.children, self.drop = name, parent, [], drop
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, weak: bool = False):
+        self.name, self.parent, self.children, self.drop, self.weak = name, parent, [], drop, weak
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
         self.block = name in BLOCK
 
 
-def _furniture(name: str, rest: str, stack: list[Node]) -> bool:
-    if name in FURNITURE:
+class Open:
+    """The open elements, with the places of each name, so that no tag looks through them all."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.scopes = [root], {"html": [0]}, []
+        self.dropped: int | None = None  # the outermost element that is furniture
+
+    def has(self, *names: str) -> bool:
+        return any(self.at.get(n) for n in names)
+
+    def push(self, node: Node) -> None:
+        here = len(self.nodes)
+        self.at.setdefault(node.name, []).append(here)
+        if node.name in SCOPES:
+            self.scopes.append(here)
+        if node.drop and self.dropped is None:
+            self.dropped = here
+        self.nodes.append(node)
+
+    def close(self, names: frozenset[str] | set[str], beyond_scopes: bool = False) -> bool:
+        """Close the innermost element of these names, with all in it; only within the innermost scope unless told otherwise."""
+        place = max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+        if not place or not beyond_scopes and self.scopes and place < self.scopes[-1]:
+            return False
+        for node in self.nodes[place:]:
+            self.at[node.name].pop()
+            if node.name in SCOPES:
+                self.scopes.pop()
+        del self.nodes[place:]
+        if self.dropped is not None and self.dropped >= place:
+            self.dropped = None
         return True
+
+
+def _furniture(name: str, rest: str, opened: Open) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether a part of its name hints at it. Names count for blocks alone."""
+    if name in FURNITURE:
+        return True, False
     if name == "header":
-        return not any(n.name in ("article", "main") for n in stack)
+        return not opened.has("article", "main"), False
     if not rest.strip() or name in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    weak = False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and not MARKS.isdisjoint(value.split()):
-            return True
+        if key in ("class", "id") and name in BLOCK:
+            names = value.split()
+            if not MARKS.isdisjoint(names):
+                return True, False
+            split = [re.split(r"[-_]+", n.strip("-_")) for n in names]
+            weak = weak or any(len(n) > 1 and (n[0] in PARTS or n[-1] in PARTS) for n in split)
         if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", rest)) or "display:none" in rest.replace(" ", "").lower()
+            return True, False
+    return bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", rest)) or "display:none" in rest.replace(" ", "").lower(), weak
 
 
-def _only_in_header(stack: list[Node]) -> bool:
-    names = [n.name for n in stack]
-    return "header" in names and HEADINGS.isdisjoint(names)
+def _drop_hinted(root: Node) -> None:
+    """Drop the elements of which a part of a name hints at furniture, unless they hold the page's main element or title."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and not c.drop]
+    holds = set()
+    for node in reversed(order):
+        if node in holds or node.name in ("main", "h1"):
+            holds.add(node.parent)
+        if node.weak and node not in holds:
+            node.drop = True
 
 
 def parse(page: str) -> Node:
     """The tree of a page: children are nodes and strings. Furniture keeps its place but no contents.
 
-    A header in an article keeps its headings only.
+    A header in an article keeps its headings only. Work is linear in the page, however deep it is.
     """
     root = Node("html", None)
-    stack, at, size = [root], 0, len(page)
-    headers = False  # any header in an article so far
-    skip = 0  # open elements inside furniture, that included
+    opened, at, size = Open(root), 0, len(page)
+    hinted = False
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
-        if text and not skip and not (headers and _only_in_header(stack)):
-            stack[-1].children.append(entities.unescape(text))
+        if text and opened.dropped is None and not (opened.has("header") and not opened.has(*HEADINGS)):
+            opened.nodes[-1].children.append(entities.unescape(text))
         if not m:
             break
         at = m.end()
@@ -100,31 +151,19 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in SCOPES and name not in BLOCK:
-                    break
-            skip = skip and next((len(stack) - i for i, n in enumerate(stack) if n.drop), 0)
+            opened.close({name}, name in BLOCK)
             continue
-        if name in ("html", "body") and any(n.name == name for n in stack):
+        if name in ("html", "body") and opened.has(name):
             continue
         rest = m["rest"]
         if name in ENDS_P or name in SIBLINGS:
             closes = SIBLINGS.get(name, frozenset()) | ({"p"} if name in ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in closes:
-                    del stack[i:]
-                    if name in ENDS_P and stack[-1].name == "p":
-                        continue
-                    break
-                if stack[i].name in SCOPES:
-                    break
-            skip = skip and next((len(stack) - i for i, n in enumerate(stack) if n.drop), 0)
-        node = Node(name, stack[-1], skip > 0 or _furniture(name, rest, stack))
-        stack[-1].children.append(node)
-        headers = headers or name == "header"
+            while opened.close(closes) and name in ENDS_P and opened.nodes[-1].name == "p":
+                pass
+        drop, weak = (True, False) if opened.dropped is not None else _furniture(name, rest, opened)
+        node = Node(name, opened.nodes[-1], drop, weak)
+        hinted = hinted or weak
+        opened.nodes[-1].children.append(node)
         if name in VOID:
             continue
         if name in RAW:
@@ -135,8 +174,9 @@ def parse(page: str) -> Node:
                 at = end + 1 if end >= 0 else size
             continue
         if not rest.endswith("/") or name in BLOCK:
-            stack.append(node)
-            skip = skip + 1 if skip else int(node.drop)
+            opened.push(node)
+    if hinted:
+        _drop_hinted(root)
     return root
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 
@@ -140,6 +141,38 @@ def test_split_article_and_plain_advert():
     assert H.main_text(page) == f"Title {PLAIN} {PLAIN}"
 
 
+@pytest.mark.parametrize("mark", ["class='reader-comments'", "class=post-comments", "id='comment-list'", "class='x ad-slot'", "class=cookie_banner", "class='newsletter-box'"])
+def test_compound_names_of_furniture(mark):
+    page = f"<article><p>{LONG}</p><div {mark}><p>{LONG}</p></div><p>{LONG}</p></article>"
+    assert H.main_text(page) == f"{LONG} {LONG}"
+    # a wrapper of the page is no advert, whatever it is called
+    assert H.main_text(f"<body><div {mark}><h1>Title</h1><p>{LONG}</p></div></body>") == f"Title {LONG}"
+
+
+def test_words_in_a_sentence_stay_whatever_their_class():
+    page = f"<article><p>{LONG} See <b class='alert'>danger</b> and <span class='social ad-slot'>x</span>.</p></article>"
+    assert H.main_text(page) == f"{LONG} See danger and x."
+
+
+def test_deep_and_misnested_pages_are_linear():
+    def seconds(make, n):
+        page = make(n)
+        began = time.perf_counter()
+        H.main_text(page)
+        return time.perf_counter() - began
+
+    shapes = [
+        lambda n: "<body><article><header></header>" + "<div>x" * n,
+        lambda n: "<b>x</i>" * n,
+        lambda n: "<nav>" + "<div>x</p>" * n,
+        lambda n: "<i><div>" + "<b>x</i>" * n,
+        lambda n: "<ul>" + "<li><b>x" * n,
+        lambda n: "<div class='comment-x'>x" * n,
+    ]
+    for make in shapes:
+        assert seconds(make, 32_000) < max(1.0, 4 * seconds(make, 16_000))
+
+
 def test_unclosed_markup_is_linear():
     H.main_text("<a title='" + "x" * 200_000)
     H.main_text("<" * 20_000 + "<p>x")
