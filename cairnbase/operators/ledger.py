@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import latest, topological_order
@@ -49,6 +49,13 @@ class Stage:
         said = json.dumps({"content_hash": content_hash, "model_version": self.model_version, "params": self.params, "stage": self.name}, sort_keys=True, separators=(",", ":"))
         return hashlib.sha256(said.encode()).hexdigest()
 
+    def input_hash_of(self, content_hash: Column) -> Column:
+        """The same for a column of content hashes (hexadecimal digits)."""
+        mark = "\0"
+        said = json.dumps({"content_hash": mark, "model_version": self.model_version, "params": self.params, "stage": self.name}, sort_keys=True, separators=(",", ":"))
+        before, after = said.split(json.dumps(mark)[1:-1], 1)
+        return F.sha2(F.concat(F.lit(before), content_hash, F.lit(after)), 256)
+
 
 def ordered(stages: list[Stage]) -> list[Stage]:
     by_name = {s.name: s for s in stages}
