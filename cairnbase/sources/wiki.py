@@ -57,7 +57,7 @@ class _Inline:
     def html(self) -> str:
         out, at = [], 0
         while at < len(self.line):
-            span = next((getattr(self, how)(at) for mark, how in self.OPENERS.items() if self.line.startswith(mark, at)), None)
+            span = next(filter(None, (getattr(self, how)(at) for mark, how in self.OPENERS.items() if self.line.startswith(mark, at))), None)
             if span:
                 shown, at = span
             else:
@@ -87,8 +87,14 @@ class _Inline:
         return (SHAPES["cite"].format(_Inline(found[0]).html()), found[1] + 1) if found and self.line.startswith("_", found[1]) else None
 
     def _em(self, at: int) -> tuple[str, int] | None:
-        found = self._within(at, 1, "*")
-        return (SHAPES["em"].format(_Inline(found[0]).html()), found[1]) if found and found[0] else None
+        """Up to the next asterisk that no bold span within takes: bold is resolved first."""
+        end = at + 1
+        while (end := self.line.find("*", end)) >= 0:
+            bold = self._strong(end) if self.line.startswith("**", end) else None
+            if not bold:
+                break
+            end = bold[1]
+        return (SHAPES["em"].format(_Inline(self.line[at + 1 : end]).html()), end + 1) if end > at + 1 else None
 
 
 def _block(line: str) -> tuple[str, str]:

@@ -82,6 +82,15 @@ def test_markdown_is_escaped():
     assert got == '<h1 class="wiki-title">T &lt;b&gt;</h1>\n<ul class="wiki-list">\n<li>one <strong>two</strong></li>\n<li><a class="wikilink" href="/wiki/page/x">Y</a></li>\n</ul>\n<p class="wiki-meta">meta</p>\n<hr>\n<p>text <em class="cite">(source: a)</em></p>'
 
 
+def test_bold_within_italics():
+    cases = {
+        "*see **x** now*": "<em>see <strong>x</strong> now</em>", "***a***": "<em><strong>a</strong></em>", "**a*b**": "*<em>a</em>b**", "*a* **b** *c*": "<em>a</em> <strong>b</strong> <em>c</em>",
+        "**": "**", "* **b**": "* <strong>b</strong>", "*open **b** still": "*open <strong>b</strong> still",
+    }
+    for text, want in cases.items():
+        assert wiki.render_markdown(text) == f"<p>{want}</p>"
+
+
 def test_wiki_files(spark, tmp_path):
     wiki.scaffold(str(tmp_path))
     hashes = wiki.write_pages(spark.createDataFrame([("entities/a.md", "# A\n")], "path string, content string"), str(tmp_path))
