@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -225,6 +226,69 @@ def topic_pages(clusters: DataFrame, chapters: DataFrame, files: DataFrame, enti
     )
 
 
+def _key_entities(touched: DataFrame, entities: DataFrame, claims: DataFrame, cap: int) -> DataFrame:
+    """id, name, type, slug, claim, rn of the entities (id) with the most claims: their order and their first active claim."""
+    from pyspark.sql import Window
+
+    from ..operators.entities import first_claims, with_slugs
+
+    counts = claims.groupBy("entity_id").agg(F.count("*").alias("n"))
+    first = first_claims(claims).select("entity_id", "claim")
+    e = with_slugs(entities).where("status in ('active', 'unresolved')").join(touched.select("id"), "id", "left_semi")
+    rated = e.join(counts, F.col("id") == F.col("entity_id"), "left").drop("entity_id").join(first, F.col("id") == F.col("entity_id"), "left").drop("entity_id")
+    rn = F.row_number().over(Window.orderBy(F.desc(F.coalesce("n", F.lit(0))), "id"))
+    return rated.select("id", "name", "type", "slug", "claim", rn.alias("rn")).where(F.col("rn") <= cap)
+
+
+def source_page(file: DataFrame, clusters: DataFrame, chapters: DataFrame, entities: DataFrame, claims: DataFrame, topics: DataFrame, mentioned: int, prose: Callable[[str], str] | None = None, stamp: str = "", cap: int = 15, most: int = 40) -> tuple[str, str] | None:
+    """path, content of a file's profile: what it is, a lead paragraph, its covered chapters, its key entities.
+
+    file: one row (filename, format, byte_size, created_at); clusters: top_id, entities, n of its chapters; topics: path
+    of the topic pages there are, to which chapters link; prose: a model for the lead, left out if it fails or there is
+    none. None if nothing was extracted from the file. What a profile holds is bounded by cap and most.
+    """
+    from ..functions.text import human_size, slug
+
+    f = file.select("filename", "format", human_size(F.col("byte_size")).alias("size"), F.date_format("created_at", "yyyy-MM-dd").alias("day"), slug(F.regexp_replace("filename", r"\.[^.]+$", ""), 80).alias("stem")).first()
+    covered = clusters.join(chapters.select(F.col("id").alias("top_id"), "title", "ord"), "top_id")
+    total = covered.count()
+    if not total:
+        return None
+    placed = covered.withColumn("path", F.concat(F.lit(f"topics/{f['stem']}--"), slug(F.col("title"), 80), F.lit(".md"))).join(topics.select("path", F.lit(True).alias("there")), "path", "left")
+    lines = [
+        f"- {f'[[{r['path'][7:-3]}|{r['title']}]]' if r['there'] else r['title']} — {r['n']} entities"
+        for r in placed.orderBy("ord").limit(most).select("path", "title", "there", "n").collect()
+    ]
+    if total > most:
+        lines.append(f"- _(+{total - most} more chapters)_")
+    key = _key_entities(clusters.select(F.explode("entities").alias("id")).distinct(), entities, claims, cap).orderBy("rn").collect()
+    tops = [r[0] for r in chapters.where("parent_id is null").orderBy("ord").select("title").collect()]
+    digest = "\n".join(f"- [[{r['slug']}|{r['name']}]] ({r['type']}): {r['claim'] or ''}" for r in key)
+    lead = ""
+    if prose:
+        try:
+            lead = prose(f"DOCUMENT: {f['filename']}\nTABLE OF CONTENTS:\n" + ("\n".join(f"- {t}" for t in tops) or "(no outline)") + f"\n\nKEY ENTITIES:\n{digest}").strip()
+        except Exception:  # noqa: BLE001  the page is whole without a lead
+            lead = ""
+    out = [f"# {f['filename']}", f"> **source** · {f['format']} · {f['size']} · {len(tops)} chapters · {mentioned} entities · ingested {f['day'] or 'unknown'}"]
+    out += [linkify(lead, [(r["slug"], r["name"]) for r in key])] if lead else []
+    out += ["## Contents", "\n".join(lines)]
+    out += ["## Key entities", " · ".join(f"[[{r['slug']}|{r['name']}]]" for r in key)] if key else []
+    return f"sources/{f['stem']}.md", "\n\n".join(out) + f"\n\n---\n{stamp}".rstrip() + "\n"
+
+
+def overview_page(before: str, filename: str, touched: DataFrame, entities: DataFrame, claims: DataFrame, prose: Callable[[str], str], cap: int = 12, most: int = 6000) -> str | None:
+    """The overview revised by a model in the light of one more source; None if it says nothing, so that the page stays."""
+    body = before.removeprefix("# Overview").strip()[:most]
+    key = _key_entities(touched, entities, claims, cap).orderBy("rn").collect()
+    lines = "\n".join(f"- [[{r['slug']}|{r['name']}]] ({r['type']}): {r['claim'] or ''}" for r in key)
+    try:
+        text = prose(f"CURRENT OVERVIEW:\n{body or '(empty — this is the first source)'}\n\nNEW SOURCE: {filename}\nIt contributed {touched.count()} entities; the most substantial:\n{lines}").strip()
+    except Exception:  # noqa: BLE001  authored prose is optional
+        return None
+    return f"# Overview\n\n{text}\n" if text else None
+
+
 def stale_topics(written: DataFrame, pages: DataFrame, stem: str) -> DataFrame:
     """Topic pages of a file (by the stem of its name) that its last run has not written."""
     return pages.where(F.col("path").startswith(f"topics/{stem}--")).join(written.select("path"), "path", "left_anti").select("path")
