@@ -24,7 +24,8 @@ def _files(rows: DataFrame, write: Callable[[dict], bytes]) -> DataFrame:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_pydict({"file_id": pa.array([row["file_id"]], pa.int64()), "content": pa.array([write(row)], pa.binary())})
 
-    return stored(rows.mapInArrow(run, "file_id long, content binary"), "pdf-files")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartition(tasks, "file_id").mapInArrow(run, "file_id long, content binary"), "pdf-files")
 
 
 def _document(row: dict) -> bytes:

@@ -265,7 +265,8 @@ def page_items(parts: DataFrame) -> DataFrame:
     runs = parts.where("kind = 'page'").withColumn("run", F.floor(F.col("page") / RUN_PAGES))
     kept = parts.where("kind in ('font', 'form')").join(runs.select("file_id", "run").distinct(), "file_id")
     fields = ["file_id", "run", "kind", "page", "number", "info", "data"]
-    dealt = runs.select(*fields).unionByName(kept.select(*fields)).repartition("file_id", "run").sortWithinPartitions("file_id", "run", F.col("kind") == "page", "page")
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as the work is not in the bytes by which Spark would join partitions
+    dealt = runs.select(*fields).unionByName(kept.select(*fields)).repartition(tasks, "file_id", "run").sortWithinPartitions("file_id", "run", F.col("kind") == "page", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:

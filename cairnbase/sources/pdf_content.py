@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -168,16 +169,13 @@ class Canvas:
         def show(data: bytes) -> None:
             nonlocal text
             font = now.font or {"wide": False, "text": {}, "widths": {}, "default": 500.0, "bold": False}
-            step = 2 if font["wide"] else 1
+            codes = struct.unpack(f">{len(data) // 2}H", data[: len(data) // 2 * 2]) if font["wide"] else data
             trm = times((now.size * now.stretch, 0, 0, now.size, 0, now.rise), times(text, now.ctm))
-            out, far = [], 0.0
-            for i in range(0, len(data) - step + 1, step):
-                code = int.from_bytes(data[i : i + step], "big")
-                out.append(font["text"].get(code, ""))
-                far += font["widths"].get(code, font["default"]) / 1000 * now.size + now.chars + (now.words if step == 1 and code == 32 else 0.0)
+            texts, widths, usual = font["text"].get, font["widths"].get, font["default"]
+            far = sum([widths(c, usual) for c in codes]) / 1000 * now.size + len(codes) * now.chars + (0.0 if font["wide"] else data.count(32) * now.words)
             text = times((1, 0, 0, 1, far * now.stretch, 0), text)
             end = times(text, now.ctm)
-            if shown := "".join(out):
+            if shown := "".join([texts(c, "") for c in codes]):
                 self.spans.append(Span(trm[4], end[4], trm[5], math.hypot(trm[2], trm[3]), font["bold"], shown))
 
         def new_line(x: float, y: float) -> None:
