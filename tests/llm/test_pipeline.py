@@ -16,7 +16,7 @@ def write(spark, folder, rows, items):
 
 
 def test_every_operator_is_registered():
-    assert NAMES == set(range(1, 11)) and 4 <= len(C.STAGES) <= 5
+    assert NAMES == set(range(1, 14)) and 4 <= len(C.STAGES) <= 5
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in C.STAGES)
 
 
