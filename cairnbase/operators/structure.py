@@ -65,6 +65,21 @@ def figures_of(chapters: DataFrame, figures: DataFrame, file: str = "file_id") -
     return c.join(f, [file, "_bucket"]).where(F.col("page").between(F.col("page_start"), F.col("page_end"))).select("chapter_id", "figure_id", "page")
 
 
+def figure_counts(chapters: DataFrame, figures: DataFrame, file: str = "file_id") -> DataFrame:
+    """chapter_id, figures, first: how many figures lie in a chapter's pages, and the least id among them; none, no row.
+
+    Figures are counted by page before the range join and chapters of equal bounds meet the pages once, so that the pairs of
+    chapters and figures are never made, however many figures and chapters one file has.
+    """
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    bounds = [file, "page_start", "page_end"]
+    pages = figures.groupBy(file, "page").agg(F.count("*").alias("_n"), F.min("id").alias("_first")).withColumn("_bucket", bucket("page"))
+    ranges = chapters.where("page_start <= page_end").select(*bounds).distinct().withColumn("_bucket", F.explode(F.sequence(bucket("page_start"), bucket("page_end"))))
+    met = ranges.join(pages, [file, "_bucket"]).where(F.col("page").between(F.col("page_start"), F.col("page_end")))
+    found = met.groupBy(*bounds).agg(F.sum("_n").alias("figures"), F.min("_first").alias("first"))
+    return chapters.select(F.col("id").alias("chapter_id"), *bounds).join(found, bounds).groupBy("chapter_id").agg(F.sum("figures").alias("figures"), F.min("first").alias("first"))
+
+
 def top_level(chapters: DataFrame, rounds: int = 64) -> DataFrame:
     """id, top_id: the ancestor without a parent in the table. Pointers are doubled each round, so depth d takes log d rounds."""
     spark = chapters.sparkSession

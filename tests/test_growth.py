@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnbase.functions.text import canonical_display_name
+from cairnbase.operators import structure
 from cairnbase.operators import maintenance as M
 from cairnbase.plans import catalog
 
@@ -59,3 +60,16 @@ def test_unmerge_with_parts_beyond_a_million(spark, agrees):
     lineitem = lineitem.withColumns({"l_returnflag": F.lit("A"), "l_linestatus": F.lit("O"), "l_shipdate": F.lit("1996-01-01").cast("timestamp")})
     rows = {r[0]: r[3] for r in agrees("unmerge_round_trip", part=part, lineitem=lineitem)}
     assert rows == {1: 0, 2: 1, 3: 2, 1_000_002: 0, 1_000_003: 1}
+
+
+def test_figures_are_counted_by_page(spark, agrees):
+    rng = random.Random(4)
+    chapters = spark.createDataFrame([(i, i % 2, s, s + rng.choice([-1, 0, 3, 70, 300])) for i in range(120) for s in [rng.randint(-5, 300)]] + [(500, None, 1, 9)], "id long, file_id long, page_start int, page_end int")
+    figures = spark.createDataFrame([(i, rng.choice([0, 1, 2, None]), rng.choice([None, *range(1, 200)])) for i in range(400)], "id long, file_id long, page int")
+    got = structure.figure_counts(chapters, figures)
+    want = structure.figures_of(chapters, figures).groupBy("chapter_id").agg(F.count("*"), F.min("figure_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # one nation of many suppliers and parts: 9 million pairs
+    supplier = spark.range(3000).select(F.col("id").alias("s_suppkey"), F.lit(0).alias("s_nationkey"))
+    part = spark.range(0, 75_000, 25).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"))
+    agrees("range_join_figures", supplier=supplier, part=part)
