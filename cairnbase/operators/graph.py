@@ -39,6 +39,32 @@ def cluster_summary(labels: DataFrame) -> DataFrame:
     return sizes.agg(F.sum("n").alias("items"), F.count("*").alias("clusters"), F.count_if(F.col("n") > 1).alias("groups"), (F.sum("n") - F.count("*")).alias("redundant"))
 
 
+def farthest(rows: DataFrame, k: int, digits: int = 2) -> DataFrame:
+    """id, other, score: the distances of values to those that can be among the k farthest of their group, ties to the lowest id.
+
+    rows: group, id, low, high, each id once in a group, with its least and greatest value; a score is the greatest distance
+    between two values, rounded to ``digits``. An id is beaten for every other one by ids whose value is more than a unit of the last
+    digit farther out on its side, and by lower ids of the same value. So of each end of a group only cells of one unit count that
+    have at most k ids three cells or more beyond them, and of a cell the k + 1 lowest ids of each value; likewise of what is null, not a
+    number or infinite. This is a short list, which each id meets in place of its group.
+    """
+    unit = 10.0**digits
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    by = lambda *keys: Window.partitionBy("group", *keys)
+    lists = []
+    for end, sign in (("high", -1), ("low", 1)):
+        cell = F.floor(F.col(end) * unit) * sign
+        outer = rows.where(~odd(end)).withColumn("_cell", cell).withColumn("_place", F.dense_rank().over(by().orderBy("_cell"))).where(F.col("_place") <= k + 3)
+        beyond = F.count("*").over(by().orderBy("_cell").rangeBetween(Window.unboundedPreceding, -3))
+        least = outer.withColumn("_beyond", beyond).where(F.col("_beyond") <= k).withColumn("_least", F.row_number().over(by(end).orderBy("id"))).where(F.col("_least") <= k + 1)
+        lists.append(least.select("group", "id", "low", "high"))
+    kind = F.when(odd("low") | odd("high"), F.concat_ws(" ", F.col("low").cast("string"), F.col("high").cast("string"))).otherwise("finite")
+    lists.append(rows.withColumn("_kind", kind).withColumn("_least", F.row_number().over(by("_kind").orderBy("id"))).where(F.col("_least") <= k + 1).select("group", "id", "low", "high"))
+    short = lists[0].union(lists[1]).union(lists[2]).distinct().toDF("group", "other", "_low", "_high")
+    score = F.round(F.greatest(F.abs(F.col("high") - F.col("_low")), F.abs(F.col("_high") - F.col("low"))), digits)
+    return rows.join(short, "group").where("id <> other").groupBy("id", "other").agg(F.max(score).alias("score"))
+
+
 def add_to_clusters(labels: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> DataFrame:
     """Labels after new nodes and their edges: a node joins its neighbours' clusters, and bridged clusters merge downwards."""
     old = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnbase.functions.text import canonical_display_name
-from cairnbase.operators import structure
+from cairnbase.operators import graph, structure
 from cairnbase.operators import maintenance as M
 from cairnbase.plans import catalog
 
@@ -73,3 +73,15 @@ def test_figures_are_counted_by_page(spark, agrees):
     supplier = spark.range(3000).select(F.col("id").alias("s_suppkey"), F.lit(0).alias("s_nationkey"))
     part = spark.range(0, 75_000, 25).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"))
     agrees("range_join_figures", supplier=supplier, part=part)
+
+
+@pytest.mark.parametrize("values", [(0.0, 1.23, -0.5, 7.01, 7.02, None), range(-400, 400)])
+def test_related_meets_a_short_list(spark, agrees, values):
+    rng = random.Random(5)
+    values = [v / 100 if isinstance(v, int) else v for v in values]
+    rows = [(rng.choice([*range(300), None]) if i % 9 == 0 else i, rng.choice([0, 0, 0, 0, 1, None]), rng.choice(values)) for i in range(300)]
+    rows += [(1000 + i, 7, None) for i in range(9)] + [(2000, 8, 1.0), (2001, 9, None), (2002, 9, 3.0)]
+    supplier = spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double")
+    agrees("related", supplier=supplier)
+    once = supplier.where("s_suppkey < 300 and s_nationkey = 0").groupBy(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("id")).agg(F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
+    assert graph.farthest(once, 5).count() < 80 * once.count()
