@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import knn, knn_join, pairs_above
+from ..functions.vectors import knn, knn_join, links_above, pairs_above
 from ..operators import graph, ranking
 from ..operators.vector_index import VectorIndex
 from ..session import table
@@ -50,7 +50,7 @@ def similar_pairs(spark, sf_dir):
 
 def _components(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return graph.connected_components(v, pairs_above(v, THRESHOLD))
+    return graph.connected_components(v, links_above(v, THRESHOLD))
 
 
 def connected_components(spark, sf_dir):
