@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "cairnbase", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,6 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in spark.sql.shuffle.partitions parts by a hash of its keys, for work that is not in the bytes.
+
+    A plain repartition by the same keys is left out after a grouping by them, whose parts adaptive execution then joins.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, and later reads take only the columns they need."""
     folder = ensure_checkpoint_dir(df.sparkSession)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, table_markdown
 from ..operators.structure import chunk_pages, detect_headings, page_chapters, section_bounds
-from ..session import stored
+from ..session import dealt, stored
 from .files import best_figures
 from .pdf_content import Canvas, aligned_tables, font_table, line_text, ruled_tables, text_lines
 from .pdf_objects import Pdf, PdfError, Ref, Stream
@@ -30,8 +30,10 @@ PARTS = (
     "x0 double, y0 double, x1 double, y1 double, width int, height int, format string, info string, data binary, error string"
 )
 ITEMS = "file_id long, page int, kind string, ord int, text string, size double, bold boolean, x0 double, y0 double, x1 double, y1 double, cells array<array<string>>"
-#: Pages that one run of a task takes, and rows of a record batch.
-RUN_PAGES, BATCH = 64, 64
+#: Pages that one run of a task takes, and rows and bytes of content of a record batch.
+RUN_PAGES, BATCH, BATCH_BYTES = 64, 4096, 1 << 22
+#: Kinds of items that a page can show.
+KINDS = ("line", "table", "placed")
 #: Room for the lines of a page in a line's ord.
 PAGE_LINES = 1 << 20
 
@@ -203,13 +205,15 @@ class _File:
                 yield {"kind": "error", "page": i, "error": f"{type(e).__name__}: {e}"[:500]}
 
 
-def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
+def packed_rows(rows: Iterable[dict], ddl: str, content: str) -> Iterator[pa.RecordBatch]:
+    """Rows in record batches of up to BATCH rows, closed when the bytes of the column ``content`` come to BATCH_BYTES."""
+    schema, held, size = _arrow(ddl), [], 0
     for row in rows:
         held.append(row)
-        if len(held) == BATCH:
+        size += len(row.get(content) or b"")
+        if len(held) == BATCH or size >= BATCH_BYTES:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
@@ -226,8 +230,6 @@ def read_pdfs(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(PARTS)
-
         def rows(batch: pa.RecordBatch) -> Iterator[dict]:
             for file_id, content in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
                 try:
@@ -237,31 +239,33 @@ def read_pdfs(files: DataFrame) -> DataFrame:
                     yield {"file_id": file_id, "kind": "error", "error": f"{type(e).__name__}: {e}"[:500]}
 
         for batch in batches:
-            yield from _batches(rows(batch), schema)
+            yield from packed_rows(rows(batch), PARTS, "data")
 
-    return stored(files.select("file_id", "content").mapInArrow(run, PARTS), "pdf-parts")
+    return stored(dealt(files.select("file_id", "content"), "file_id").mapInArrow(run, PARTS), "pdf-parts")
 
 
-def _page_items(row: dict, fonts: dict, forms: dict) -> Iterator[dict]:
+def _page_items(row: dict, fonts: dict, forms: dict, kinds: Iterable[str] = KINDS) -> Iterator[dict]:
     canvas = Canvas(fonts, forms)
     canvas.run(row["data"] or b"", json.loads(row["info"]))
     n = 0
-    for spans in text_lines(canvas.spans):
+    for spans in text_lines(canvas.spans) if "line" in kinds else ():
         full = [s for s in spans if s.text.strip()]
         if full and (text := line_text(spans)):
-            yield {"kind": "line", "ord": n, "text": text, "size": max(s.size for s in full), "bold": any(s.bold for s in full), "x0": full[0].x0, "y0": full[0].y, "x1": full[-1].x1, "y1": full[0].y + full[0].size}
+            yield {"kind": "line", "ord": n, "text": text, "size": max([s.size for s in full]), "bold": any([s.bold for s in full]), "x0": full[0].x0, "y0": full[0].y, "x1": full[-1].x1, "y1": full[0].y + full[0].size}
             n += 1
-    ruled = ruled_tables(canvas.rules, canvas.spans)
-    inside = lambda s: any(b[0] <= s.x0 <= b[2] and b[1] <= s.y <= b[3] for _, b in ruled)
-    kinds = [("ruled", t) for t in ruled] + [("aligned", t) for t in aligned_tables([s for s in canvas.spans if not inside(s)])]
-    for i, (how, (cells, box)) in enumerate(kinds):
-        yield {"kind": "table", "ord": i, "text": how, "cells": cells, **dict(zip(("x0", "y0", "x1", "y1"), box, strict=True))}
-    for i, (number, *box) in enumerate(canvas.images):
+    if "table" in kinds:
+        ruled = ruled_tables(canvas.rules, canvas.spans)
+        inside = lambda s: any(b[0] <= s.x0 <= b[2] and b[1] <= s.y <= b[3] for _, b in ruled)
+        found = [("ruled", t) for t in ruled] + [("aligned", t) for t in aligned_tables([s for s in canvas.spans if not inside(s)])]
+        for i, (how, (cells, box)) in enumerate(found):
+            yield {"kind": "table", "ord": i, "text": how, "cells": cells, **dict(zip(("x0", "y0", "x1", "y1"), box, strict=True))}
+    for i, (number, *box) in enumerate(canvas.images if "placed" in kinds else ()):
         yield {"kind": "placed", "ord": i, "text": number, **dict(zip(("x0", "y0", "x1", "y1"), box, strict=True))}
 
 
-def page_items(parts: DataFrame) -> DataFrame:
-    """What the pages show, see ITEMS: lines, tables (text: ruled or aligned) and placed images (text: the image's number). Stored."""
+def page_items(parts: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
+    """What the pages show, see ITEMS: lines, tables (text: ruled or aligned) and placed images (text: the image's number), or some kinds of these. Stored."""
+    kinds = tuple(kinds)
     runs = parts.where("kind = 'page'").withColumn("run", F.floor(F.col("page") / RUN_PAGES))
     kept = parts.where("kind in ('font', 'form')").join(runs.select("file_id", "run").distinct(), "file_id")
     fields = ["file_id", "run", "kind", "page", "number", "info", "data"]
@@ -281,10 +285,10 @@ def page_items(parts: DataFrame) -> DataFrame:
                     elif row["kind"] == "form":
                         forms[row["number"]] = json.loads(row["info"]) | {"content": row["data"] or b""}
                     else:
-                        for item in _page_items(row, fonts, forms):
+                        for item in _page_items(row, fonts, forms, kinds):
                             yield {"file_id": row["file_id"], "page": row["page"], **item}
 
-        yield from _batches(rows(), _arrow(ITEMS))
+        yield from packed_rows(rows(), ITEMS, "text")
 
     return stored(dealt.mapInArrow(run, ITEMS), "pdf-items")
 
@@ -307,13 +311,13 @@ def chapters(parts: DataFrame, shown: DataFrame) -> DataFrame:
     toc = _targets(parts.where("kind = 'toc'").select("file_id", "ord", "level", "title", "target", "name"), parts)
     toc = toc.select("file_id", F.col("ord").cast("long").alias("ord"), "level", "title", F.col("target").alias("page"), F.lit("outline").alias("source"))
     bare = totals.join(toc.select("file_id").distinct(), "file_id", "left_anti")
-    found = detect_headings(shown.join(bare, "file_id"), "total_pages")
+    found = detect_headings(shown, bare)
     detected = found.select("file_id", "ord", "level", F.col("text").alias("title"), "page", F.lit("heading_detect").alias("source"))
     entries = toc.unionByName(detected).where("page > 0").join(totals, "file_id")
     entries = entries.withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("ord")) - 1)
     title = F.substring(strip(F.coalesce("title", F.lit(""))), 1, 1024)
     titled = entries.withColumn("title", F.when(title == "", F.concat(F.lit("(untitled "), F.col("ord"), F.lit(")"))).otherwise(title))
-    return section_bounds(titled).select("file_id", "ord", "level", "title", F.col("page").alias("page_start"), "page_end", "parent_ord", "source")
+    return section_bounds(stored(titled, "pdf-outline")).select("file_id", "ord", "level", "title", F.col("page").alias("page_start"), "page_end", "parent_ord", "source")
 
 
 def _chapter_of(pages: DataFrame, outline: DataFrame, page: str, name: str) -> DataFrame:
