@@ -141,14 +141,25 @@ def running_lines(lines: DataFrame, pages: int | str, file: str = "file_id") ->
     return found.where(F.col("pages") >= F.greatest(F.lit(3), F.floor(F.col("_total") / 10))).drop("_total")
 
 
-def detect_headings(lines: DataFrame, pages: int | str, file: str = "file_id") -> DataFrame:
-    """file, ord, level, text, page of the headings among lines (file, ord, page, text, size, bold), as running_lines() has pages."""
+def detect_headings(lines: DataFrame, pages: int | str | DataFrame, file: str = "file_id") -> DataFrame:
+    """file, ord, level, text, page of the headings among lines (file, ord, page, text, size, bold), as running_lines() has pages.
+
+    A table as ``pages`` (file, total_pages) also says which files are looked at. The sizes of a file are few, so the lines are
+    shuffled once, to the sizes of their file, and the pages that show a text are counted where its lines have met.
+    """
     from ..functions.text import heading_level
 
-    sized = lines.join(body_size(lines, file), file)
-    big = F.when(F.col("size") >= F.col("body") + 1.0, F.col("size"))
-    rank = F.dense_rank().over(Window.partitionBy(file).orderBy(big.desc_nulls_last()))
-    ranked = sized.withColumn("size_rank", F.when(big.isNotNull() & (rank <= 6), rank))
+    sizes = lines.groupBy(file, "size").agg(F.sum(F.length("text")).alias("n"), F.min("ord").alias("first"), *([F.max(pages).alias("_pages")] if isinstance(pages, str) else []))
+    known = F.max("_pages") if isinstance(pages, str) else F.lit(None if isinstance(pages, DataFrame) else pages).cast("int")
+    scale = sizes.groupBy(file).agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("body"), F.sort_array(F.collect_set("size"), asc=False).alias("_sizes"), known.alias("_pages"))
+    if isinstance(pages, DataFrame):
+        scale = scale.drop("_pages").join(pages.select(file, F.col("total_pages").alias("_pages")), file)
+    scale = scale.withColumn("_big", F.slice(F.filter("_sizes", lambda s: s >= F.col("body") + 1.0), 1, 6)).drop("_sizes")
+    rank = F.array_position("_big", F.col("size")).cast("int")
+    sized = lines.select(file, "ord", "page", "text", "size", "bold").join(scale, file).withColumn("size_rank", F.when(rank > 0, rank)).drop("_big")
+    spread = F.size(F.collect_set("page").over(Window.partitionBy(file, "text")))
+    running = (F.length("text") <= 120) & (spread >= F.greatest(F.lit(3), F.floor(F.col("_pages") / 10)))
     level = heading_level(F.col("text"), F.col("size"), F.col("bold"), F.col("body"), F.col("size_rank"))
-    running = running_lines(lines, pages, file).select(file, "text")
-    return ranked.join(running, [file, "text"], "left_anti").withColumn("level", level).where("level is not null").select(file, "ord", "level", "text", "page")
+    bigger = F.col("bold") | (F.col("size") >= F.col("body") + 1.0)  # what any heading is; cheaper to ask
+    kept = sized.withColumn("_running", F.coalesce(running, F.lit(False))).where(bigger & ~F.col("_running"))
+    return kept.withColumn("level", level).where("level is not null").select(file, "ord", "level", "text", "page")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairnbase.operators import structure
@@ -74,3 +75,30 @@ def test_figures_by_page_range(spark):
     f = spark.createDataFrame([(5, 1, 2), (6, 1, 4), (7, 2, 2)], "id long, file_id long, page int")
     assert {(r["chapter_id"], r["figure_id"]) for r in structure.figures_of(c, f).collect()} == {(1, 5), (2, 6)}
     assert F is not None
+
+
+@pytest.mark.parametrize("how", ["number", "column", "table"])
+def test_headings_against_separate_steps(spark, how):
+    from pyspark.sql import Window
+
+    from cairnbase.functions.text import heading_level
+
+    rng = random.Random(5)
+    texts = ["1. Intro", "2.3 Part", "2.3.1 Deep", "Head", "foot", "", None, "w " * 30, "x" * 130, "long " * 40]
+    rows = [(f, i, i // 6, rng.choice(texts), rng.choice([None, 9.0, *range(10, 20)]) and float(rng.choice([10, 10, 10, 11, 12, 13, 14, 15, 16, 17, 18])), rng.choice([True, False, False]), 12) for f in range(12) for i in range(rng.choice([1, 20, 70]))]
+    lines = spark.createDataFrame(rows, "file_id long, ord long, page int, text string, size double, bold boolean, total int")
+    kept, pages = lines, {"number": 12, "column": "total"}.get(how)
+    if how == "table":
+        pages = lines.where("file_id % 3 > 0").select("file_id", F.col("total").alias("total_pages")).distinct()
+        kept = lines.where("file_id % 3 > 0")
+    sized = kept.join(structure.body_size(kept), "file_id")
+    big = F.when(F.col("size") >= F.col("body") + 1.0, F.col("size"))
+    rank = F.dense_rank().over(Window.partitionBy("file_id").orderBy(big.desc_nulls_last()))
+    ranked = sized.withColumn("r", F.when(big.isNotNull() & (rank <= 6), rank))
+    level = heading_level(F.col("text"), F.col("size"), F.col("bold"), F.col("body"), F.col("r"))
+    running = structure.running_lines(kept, "total").select("file_id", "text")
+    want = ranked.join(running, ["file_id", "text"], "left_anti").withColumn("level", level).where("level is not null")
+    key = lambda df: sorted((r.file_id, r.ord, r.level, str(r.text), r.page) for r in df.collect())
+    found = structure.detect_headings(lines.checkpoint(), pages)
+    assert key(found) == key(want) and found.count()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= (3 if how == "table" else 2)  # the lines: once for their sizes, once for themselves
