@@ -156,7 +156,7 @@ def detect_headings(lines: DataFrame, pages: int | str | DataFrame, file: str =
         scale = scale.drop("_pages").join(pages.select(file, F.col("total_pages").alias("_pages")), file)
     scale = scale.withColumn("_big", F.slice(F.filter("_sizes", lambda s: s >= F.col("body") + 1.0), 1, 6)).drop("_sizes")
     rank = F.array_position("_big", F.col("size")).cast("int")
-    sized = lines.select(file, "ord", "page", "text", "size", "bold").join(scale, file).withColumn("size_rank", F.when(rank > 0, rank)).drop("_big")
+    sized = lines.select(file, "ord", "page", "text", "size", "bold").join(scale.hint("shuffle_hash"), file).withColumn("size_rank", F.when(rank > 0, rank)).drop("_big")
     spread = F.size(F.collect_set("page").over(Window.partitionBy(file, "text")))
     running = (F.length("text") <= 120) & (spread >= F.greatest(F.lit(3), F.floor(F.col("_pages") / 10)))
     level = heading_level(F.col("text"), F.col("size"), F.col("bold"), F.col("body"), F.col("size_rank"))

@@ -249,6 +249,12 @@ def _page_items(row: dict, fonts: dict, forms: dict, kinds: Iterable[str] = KIND
     canvas.run(row["data"] or b"", json.loads(row["info"]))
     n = 0
     for spans in text_lines(canvas.spans) if "line" in kinds else ():
+        if len(spans) == 1:
+            s = spans[0]
+            if text := s.text.strip():
+                yield {"kind": "line", "ord": n, "text": text, "size": s.size, "bold": s.bold, "x0": s.x0, "y0": s.y, "x1": s.x1, "y1": s.y + s.size}
+                n += 1
+            continue
         full = [s for s in spans if s.text.strip()]
         if full and (text := line_text(spans)):
             yield {"kind": "line", "ord": n, "text": text, "size": max([s.size for s in full]), "bold": any([s.bold for s in full]), "x0": full[0].x0, "y0": full[0].y, "x1": full[-1].x1, "y1": full[0].y + full[0].size}
@@ -286,7 +292,8 @@ def page_items(parts: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
                         forms[row["number"]] = json.loads(row["info"]) | {"content": row["data"] or b""}
                     else:
                         for item in _page_items(row, fonts, forms, kinds):
-                            yield {"file_id": row["file_id"], "page": row["page"], **item}
+                            item["file_id"], item["page"] = row["file_id"], row["page"]
+                            yield item
 
         yield from packed_rows(rows(), ITEMS, "text")
 
