@@ -61,29 +61,39 @@ def band_summary(scored: DataFrame, sample: int = 6) -> DataFrame:
     return top.groupBy("band").agg(F.count("*").alias("pairs"), F.array_sort(F.collect_list(F.when(F.col("rn") <= sample, F.struct("rn", "a", "b", "score")))).alias("sample"))
 
 
+#: Mentions that one task of comentions() takes.
+MENTIONS = 200_000
+
+
 def comentions(mentions: DataFrame, cap: int = DEFAULTS.comention_cap) -> DataFrame:
     """entity_id, other_id, rn: entities that share a chunk; for those with none, that share a file; at most cap each, by first mention.
 
     Of a chunk only the cap + 1 entities that it mentions first can be among the first cap of any entity: whatever
-    comes later in it has cap others before it. So each mention meets a short list, and never all of its chunk.
+    comes later in it has cap others before it. So each mention meets a short list, and never all of its chunk. Tasks grow
+    in number with the mentions, not in size, and a file is looked at only for entities that no chunk places.
     """
     m = mentions.select("id", "entity_id", "chunk_id", "file_id")
+    tasks = max(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), m.count() // MENTIONS + 1)
 
-    def beside(key: str, only: DataFrame | None = None) -> DataFrame:
-        firsts = m.where(F.col(key).isNotNull()).groupBy(key, "entity_id").agg(F.min("id").alias("id"))
+    def beside(own: DataFrame, held: DataFrame, key: str) -> DataFrame:
+        """entity_id, other_id, id of the short lists of held that own's entities meet at key."""
+        firsts = held.where(F.col(key).isNotNull()).select(key, "entity_id", "id").repartition(tasks, key).groupBy(key, "entity_id").agg(F.min("id").alias("id"))
         order = F.row_number().over(Window.partitionBy(key).orderBy("id", "entity_id"))
         short = firsts.withColumn("_place", order).where(F.col("_place") <= cap + 1).select(key, F.col("entity_id").alias("other_id"), "id")
-        a = firsts.select("entity_id", key)
-        a = a if only is None else a.join(only, "entity_id", "left_anti")
-        return a.join(short, key).where("entity_id <> other_id").groupBy("entity_id", "other_id").agg(F.min("id").alias("first"))
+        a = firsts if own is held else own.repartition(tasks, key)
+        return a.select("entity_id", key).join(short, key).where("entity_id <> other_id").select("entity_id", "other_id", "id")
 
-    close = beside("chunk_id")
     # who shares a chunk with no one is known from the chunks with one entity alone, without the pairs
-    alone = m.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"))
-    near = m.join(alone.where("low < high").select("chunk_id"), "chunk_id", "left_semi").select("entity_id").distinct()
-    all_ = close.unionByName(beside("file_id", near))
+    in_chunks = m.where(F.col("chunk_id").isNotNull()).select("chunk_id", "entity_id").repartition(tasks, "chunk_id")
+    alone = in_chunks.groupBy("chunk_id").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"))
+    near = in_chunks.join(alone.where("low < high").select("chunk_id"), "chunk_id", "left_semi").select("entity_id").distinct()
+    apart = stored(m.select("entity_id").distinct().join(near, "entity_id", "left_anti"), "unplaced")
+    own = m.join(apart, "entity_id", "left_semi").select("entity_id", "file_id").distinct()
+    theirs = m.join(own.select("file_id").distinct(), "file_id", "left_semi")
+    pairs = beside(m, m, "chunk_id").unionByName(beside(own, theirs, "file_id")).repartition(tasks, "entity_id")
+    first = pairs.groupBy("entity_id", "other_id").agg(F.min("id").alias("first"))
     rn = F.row_number().over(Window.partitionBy("entity_id").orderBy("first", "other_id"))
-    return all_.withColumn("rn", rn).where(F.col("rn") <= cap).select("entity_id", "other_id", "rn")
+    return first.withColumn("rn", rn).where(F.col("rn") <= cap).select("entity_id", "other_id", "rn")
 
 
 def neighbour_keys(mentions: DataFrame, entities: DataFrame, cap: int = DEFAULTS.comention_cap) -> DataFrame:

@@ -81,3 +81,13 @@ def test_range_join_against_all_pairs(spark):
     rows = structure.figures_of(c, f).collect()
     assert {(r.chapter_id, r.figure_id) for r in rows} == want and len(rows) == len(want)
     assert F is not None
+
+
+def test_comentions_take_more_tasks_for_more_mentions(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 40), rng.randint(0, 150), rng.randint(0, 9)) for i in range(400)] + [(900 + i, 90 + i, 900 + i, i % 3) for i in range(9)]
+    mentions = spark.createDataFrame(rows, "id long, entity_id long, chunk_id long, file_id long")
+    found = lambda: sorted(map(tuple, E.comentions(mentions, cap=3).collect()))
+    want = found()
+    monkeypatch.setattr(E, "MENTIONS", 20)
+    assert found() == want and E.comentions(mentions, cap=3).rdd.getNumPartitions() == 409 // 20 + 1
