@@ -261,3 +261,39 @@ def test_text_objects_whole_and_token_by_token():
         whole.run(content, names)
         apart.run(content.replace(b"BT", b"BT % apart\n"), names)
         assert whole.spans == apart.spans and len(whole.spans) >= 2
+
+
+def test_tables_and_heads_of_objects_are_read_at_once(monkeypatch):
+    import random
+    import re
+
+    from cairnbase.sources import pdf_objects
+
+    whole = write_pdf([Page(lines=[(72, 700, 9, False, "a")])] * 30, packed=False)
+    calls, real = [], Lexer.next
+    with monkeypatch.context() as patch:
+        patch.setattr(Lexer, "next", lambda self: calls.append(self) or real(self))
+        opened = Pdf(whole)
+        assert all(opened.get(Ref(n)) is not None for n in opened.places if n)
+        assert len(calls) < 2 * len(opened.places)  # was 7: three for each entry and each head
+
+    def read(data):
+        try:
+            opened = Pdf(data)
+            return opened.places, opened.trailer, [opened.get(Ref(n)) for n in opened.places]
+        except (PdfError, ValueError, TypeError, KeyError, IndexError) as e:
+            return str(e)
+
+    rng = random.Random(13)
+    small = write_pdf([Page(lines=[(72, 700, 9, False, "a")])] * 2, packed=False)
+    table = small.rindex(b"xref\n0 ")
+    odd = [small, write_pdf([Page()]), small.replace(b" n \n", b" n\n"), small.replace(b" n \n", b" n\r\n"), small.replace(b" 0 obj\n", b"\r0\tobj\n"), small.replace(b" 0 obj\n", b" 0 objx"), small[: table + 150], small[:table] + small[table:].replace(b"xref\n0 ", b"xref\n0 1\n0000000000 65535 f \n% more\n0 "), small.replace(b"xref\n0 ", b"xref\n00"), small.replace(b"xref\n0 ", b"xref\n0 -")]
+    for _ in range(150):
+        data = bytearray(small)
+        for _ in range(3):
+            data[rng.choice([rng.randrange(len(data)), rng.randrange(table + 7, len(data))])] = rng.choice(b" \n\r0159nfR%/<x")
+        odd.append(bytes(data))
+    found = [read(data) for data in odd]
+    for name in ("_HEAD", "_ENTRIES"):
+        monkeypatch.setattr(pdf_objects, name, re.compile(rb"(?!)"))
+    assert found == [read(data) for data in odd] and len({str(f) for f in found}) > 20
